@@ -52,15 +52,25 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [matches(text, p) for p in patterns], F.lit(False))
 
 
-def keyword_hits(lowered: Column, keywords: list[str]) -> Column:
-    """How many of the keywords occur as substrings, each counted once."""
-    return reduce(
-        lambda a, b: a + b, [F.contains(lowered, F.lit(k)).cast("int") for k in keywords], F.lit(0)
-    )
+def strings(values: list[str]) -> Column:
+    """A literal array of texts, built in one call."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted)})")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """How many of the keywords occur in the lower-cased text, each counted once."""
+    return let(F.lower(text), lambda t: F.size(F.filter(strings(keywords), lambda k: F.contains(t, k))))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+    """Does one of the words occur in the lower-cased text?"""
+    return let(F.lower(text), lambda t: F.exists(strings(words), lambda w: F.contains(t, w)))
 
 
 def first_chars(text: Column, limit: int | None) -> Column:

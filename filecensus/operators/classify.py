@@ -13,26 +13,26 @@ from filecensus.functions import paths, text
 from filecensus.operators import rules as R
 from filecensus.operators.lookup import lookup_join
 
-NAME_RULES = ["skill_name", "agent_document_name", "agent_config_name", "secret_name"]
-HEURISTIC_RULES = {
-    "agent_text": ["agent", "document"],
-    "agent_config": ["agent", "config"],
-    "skill_config": ["skill", "config"],
-    "ai_yaml": ["config"],
-    "binary_model": ["model"],
-    "vector_database": ["vector"],
-    "database": ["data"],
-}
-NAMED = {
-    "skill_name": ["skill", "document"],
-    "agent_document_name": ["agent", "document"],
-    "agent_config_name": ["agent", "config"],
-    "secret_name": ["secret"],
-}
-
-
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+# What follows from each rule that does not depend on the extension.
+OUTCOMES = [
+    ("skill_name", ["skill", "document"], "filename", "high", "none", None),
+    ("agent_document_name", ["agent", "document"], "filename", "high", "none", None),
+    ("agent_config_name", ["agent", "config"], "filename", "high", "none", None),
+    ("secret_name", ["secret"], "filename", "high", "danger", R.SECRET_FILE_REASON),
+    ("extension", None, "extension", None, None, None),
+    ("agent_text", ["agent", "document"], "heuristic", "medium", "none", None),
+    ("agent_config", ["agent", "config"], "heuristic", "medium", "none", None),
+    ("skill_config", ["skill", "config"], "heuristic", "medium", "none", None),
+    ("ai_yaml", ["config"], "heuristic", "medium", "none", None),
+    ("binary_model", ["model"], "heuristic", "medium", "warning", R.BINARY_REASON),
+    ("vector_database", ["vector"], "heuristic", "medium", "none", None),
+    ("database", ["data"], "heuristic", "medium", "none", None),
+]
+OUTCOME_SCHEMA = (
+    "rule string, o_categories array<string>, detection_method string, o_confidence string, "
+    "o_level string, o_reason string"
+)
+UNCLASSIFIED = "none"
 
 
 def name_rule(name: Column, ext: Column, stem: Column) -> Column:
@@ -64,30 +64,38 @@ def _branch() -> Column:
     )
 
 
-def _content_rule() -> Column:
+def _content_rule(window: R.Window) -> Column:
+    """The final rule.  Content is looked at only in branches that need it."""
     branch, name = F.col("_branch"), F.col("filename")
-    keywords, yaml = F.col("_keyword_text"), F.col("_yaml_text")
+    head, raw = F.col("head"), F.col("head_bytes")
+    start = text.first_chars(head, window.keyword_chars)
     agent = text.matches(name, R.AGENT_NAME) & (
-        text.keyword_hits(keywords, R.AGENT_KEYWORDS) >= R.KEYWORD_THRESHOLD
+        text.keyword_hits(start, R.AGENT_KEYWORDS) >= R.KEYWORD_THRESHOLD
     )
     skill = text.matches(name, R.SKILL_NAME) & (
-        text.keyword_hits(keywords, R.SKILL_KEYWORDS) >= R.KEYWORD_THRESHOLD
+        text.keyword_hits(start, R.SKILL_KEYWORDS) >= R.KEYWORD_THRESHOLD
     )
-    ai_yaml = text.keyword_hits(yaml, R.AI_KEYWORDS) >= R.KEYWORD_THRESHOLD
-    raw = F.col("head_bytes")
+    yaml = text.keyword_hits(text.first_chars(head, window.yaml_chars), R.AI_KEYWORDS)
     magic = F.lit(False)
     for word, length in R.BINARY_MAGIC.items():
         magic = magic | (text.magic(raw, length) == word.encode().hex().upper())
     by_siblings = (F.col("size_bytes") > R.LARGE_BINARY_BYTES) & F.col("_model_folder")
     sqlite = text.magic(raw, len(R.SQLITE_MAGIC)) == R.SQLITE_MAGIC.encode().hex().upper()
-    return (
-        F.when(branch.isin([*NAME_RULES, "extension"]), branch)
-        .when((branch == "txt") & agent, "agent_text")
-        .when(branch.isin("yaml", "json") & agent, "agent_config")
-        .when(branch.isin("yaml", "json") & skill, "skill_config")
-        .when((branch == "yaml") & ai_yaml, "ai_yaml")
-        .when((branch == "bin") & (magic | by_siblings), "binary_model")
-        .when((branch == "db") & sqlite, F.when(F.col("_vector_words"), "vector_database").otherwise("database"))
+    limit = window.database_bytes
+    chunk = raw if limit is None else F.substr(raw, F.lit(1), F.lit(limit))
+    vector = text.contains_any(F.decode(chunk, "ISO-8859-1"), R.VECTOR_DB_WORDS)
+    return F.coalesce(
+        F.when(branch == "txt", F.when(agent, "agent_text"))
+        .when(
+            branch.isin("yaml", "json"),
+            F.when(agent, "agent_config")
+            .when(skill, "skill_config")
+            .when((branch == "yaml") & (yaml >= R.KEYWORD_THRESHOLD), "ai_yaml"),
+        )
+        .when(branch == "bin", F.when(magic | by_siblings, "binary_model"))
+        .when(branch == "db", F.when(sqlite, F.when(vector, "vector_database").otherwise("database")))
+        .otherwise(branch),
+        F.lit(UNCLASSIFIED),
     )
 
 
@@ -142,70 +150,34 @@ def classify(
         ruled = lookup_join(
             ruled, model_folders(listing), ["machine_id", "_parent"], "left", ["machine_id", "path"]
         ).withColumn("_model_folder", F.coalesce("_model_folder", F.lit(False)))
-    head, branch = F.col("head"), F.col("_branch")
-    raw = F.col("head_bytes") if window.database_bytes is None else F.substr(
-        F.col("head_bytes"), F.lit(1), F.lit(window.database_bytes)
-    )
-    staged = ruled.withColumns(
-        {
-            "_keyword_text": F.when(
-                branch.isin("yaml", "json", "txt"),
-                F.lower(text.first_chars(head, window.keyword_chars)),
-            ),
-            "_yaml_text": F.when(
-                branch == "yaml", F.lower(text.first_chars(head, window.yaml_chars))
-            ),
-            "_vector_words": F.when(
-                branch == "db",
-                text.contains_any(F.lower(F.decode(raw, "ISO-8859-1")), R.VECTOR_DB_WORDS),
-            ),
-        }
-    ).withColumn("rule", _content_rule())
-    if not keep_unclassified:
-        staged = staged.filter(F.col("rule").isNotNull())
-    return _describe(staged).drop(
-        "_ext", "_name_rule", "_branch", "_model_folder", "_parent", "_keyword_text",
-        "_yaml_text", "_vector_words", *R.EXTENSION_RULES.fieldNames(),
+    decided = ruled.withColumn("rule", _content_rule(rules.window))
+    return _describe(decided, keep_unclassified).drop(
+        "_ext", "_name_rule", "_branch", "_model_folder", "_parent", *R.EXTENSION_RULES.fieldNames()
     )
 
 
-def _describe(staged: DataFrame) -> DataFrame:
-    rule = F.col("rule")
-    categories = F.when(rule == "extension", F.col("rule_categories"))
-    for key, names in {**NAMED, **HEURISTIC_RULES}.items():
-        categories = categories.when(rule == key, _strings(names))
-    ext, name = F.col("_ext"), F.col("filename")
-    level = (
-        F.when(rule == "secret_name", "danger")
-        .when(rule == "binary_model", "warning")
-        .when((rule == "extension") & F.col("rule_risk_level").isNotNull(), F.col("rule_risk_level"))
-        .when(rule.isNotNull(), "none")
-    )
-    reason = (
-        F.when(rule == "secret_name", R.SECRET_FILE_REASON)
-        .when(rule == "binary_model", R.BINARY_REASON)
-        .when(rule == "extension", F.col("rule_risk_reason"))
-    )
-    method = (
-        F.when(rule.isin(NAME_RULES), "filename")
-        .when(rule == "extension", "extension")
-        .when(rule.isNotNull(), "heuristic")
-    )
-    confidence = (
-        F.when(rule.isin(NAME_RULES), "high")
-        .when(rule == "extension", F.col("rule_confidence"))
-        .when(rule.isNotNull(), "medium")
-    )
-    return staged.withColumns(
-        {
-            "extension": F.when(rule == "secret_name", F.coalesce(ext, name)).otherwise(ext),
-            "categories": categories,
-            "detection_method": method,
-            "confidence": confidence,
-            "risk_level": level,
-            "risk_reason": reason,
-        }
-    ).withColumn("category", F.element_at("categories", 1))
+def _describe(decided: DataFrame, keep_unclassified: bool) -> DataFrame:
+    """Look up what the rule means.
+
+    ``rule`` is never NULL and its meaning comes from a join, so filters on categories or
+    risk stop above the join and the content tests are not repeated inside them.
+    """
+    outcomes = F.broadcast(decided.sparkSession.createDataFrame(OUTCOMES, OUTCOME_SCHEMA))
+    joined = decided.join(outcomes, "rule", "left" if keep_unclassified else "inner")
+    ext, name, rule = F.col("_ext"), F.col("filename"), F.col("rule")
+    by_extension, known = rule == "extension", F.col("detection_method").isNotNull()
+    risk = F.when(by_extension, F.coalesce("rule_risk_level", F.lit("none"))).otherwise(F.col("o_level"))
+    reason = F.when(by_extension, F.col("rule_risk_reason")).otherwise(F.col("o_reason"))
+    return joined.select(
+        "*",
+        F.when(rule == "secret_name", F.coalesce(ext, name)).otherwise(ext).alias("extension"),
+        F.when(by_extension, F.col("rule_categories")).otherwise(F.col("o_categories")).alias("categories"),
+        F.when(by_extension, F.col("rule_confidence")).otherwise(F.col("o_confidence")).alias("confidence"),
+        risk.alias("risk_level"),
+        reason.alias("risk_reason"),
+    ).withColumns(
+        {"category": F.element_at("categories", 1), "rule": F.when(known, rule)}
+    ).drop("o_categories", "o_confidence", "o_level", "o_reason")
 
 
 def checkpoint_rows(folders: DataFrame) -> DataFrame:
@@ -213,7 +185,7 @@ def checkpoint_rows(folders: DataFrame) -> DataFrame:
     return folders.withColumns(
         {
             "extension": F.lit(None).cast("string"),
-            "categories": _strings(["checkpoint"]),
+            "categories": F.array(F.lit("checkpoint")),
             "category": F.lit("checkpoint"),
             "rule": F.lit("checkpoint_folder"),
             "detection_method": F.lit("pattern"),

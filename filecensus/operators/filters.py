@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filecensus.functions import paths
-from filecensus.functions.text import unicode_regex
+from filecensus.functions.text import strings, unicode_regex
 from filecensus.operators import rules as R
 
 CHECKPOINT_FOLDER = (
@@ -112,7 +112,7 @@ def in_categories(files: DataFrame, wanted: list[str]) -> DataFrame:
     """Files with any of the categories; no wish means all files."""
     if not wanted:
         return files
-    return files.filter(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in wanted])))
+    return files.filter(F.arrays_overlap("categories", strings(wanted)))
 
 
 def passing(files: DataFrame, options: ScanOptions) -> DataFrame:

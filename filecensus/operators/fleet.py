@@ -217,18 +217,19 @@ def reported_changes(documents: DataFrame) -> DataFrame:
 
     Works inside each document: the three lists are concatenated and unnested, no shuffle.
     """
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(f"integrity.{name}"), F.array()),
-            lambda f, kind=kind: F.struct(
+
+    def tag(name: str, kind: str) -> Column:
+        def change(f: Column) -> Column:
+            return F.struct(
                 F.lit(kind).alias("change_type"),
                 f["path"].alias("file_path"),
                 f["filename"].alias("filename"),
                 F.to_json(f).alias("details"),
-            ),
-        )
-        for name, kind in CHANGE_LISTS.items()
-    ]
+            )
+
+        return F.transform(F.coalesce(F.col(f"integrity.{name}"), F.array()), change)
+
+    tagged = [tag(name, kind) for name, kind in CHANGE_LISTS.items()]
     return documents.filter(F.col("integrity.status") == "changes_detected").select(
         "report_id", "machine_id", F.col("received_at").alias("detected_at"), F.inline(F.concat(*tagged))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filecensus.functions import modes
+from filecensus.functions import modes, text
 
 # Category sets, alert codes and reasons.
 CONFIDENTIAL = ["secret", "agent"]
@@ -20,7 +20,7 @@ REASONS = {
 
 
 def _any_of(names: list[str]) -> Column:
-    return F.arrays_overlap("categories", F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap("categories", text.strings(names))
 
 
 def _finding() -> Column:

@@ -127,5 +127,6 @@ def optional_columns(files: DataFrame) -> DataFrame:
 
 def size_thresholds(rows: DataFrame, size: str, thresholds: list[str]) -> DataFrame:
     """Rows at or above each size text, all thresholds in one pass."""
-    counts = [F.count_if(F.col(size) >= sizes.parse_size(F.lit(t))).alias(t) for t in thresholds]
-    return rows.agg(*counts).unpivot([], thresholds, "threshold", "n_files")
+    counts = [F.count_if(F.col(size) >= sizes.parse_size(F.lit(t))) for t in thresholds]
+    pairs = [F.struct(F.lit(t).alias("threshold"), c.alias("n_files")) for t, c in zip(thresholds, counts)]
+    return rows.agg(F.array(*pairs).alias("counts")).select(F.inline("counts"))

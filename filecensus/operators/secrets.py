@@ -11,7 +11,7 @@ from filecensus.operators import rules as R
 
 def scannable() -> Column:
     """Classified files that are not flagged yet and not of a binary category."""
-    binary = F.array(*[F.lit(c) for c in R.NOT_SCANNED_FOR_SECRETS])
+    binary = text.strings(R.NOT_SCANNED_FOR_SECRETS)
     return (
         F.col("categories").isNotNull()
         & (F.col("risk_level") != "danger")

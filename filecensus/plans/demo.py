@@ -81,6 +81,7 @@ CATALOG = [
     ("top", "train.jsonl", ""),
     ("plain", "table.parquet", ""),
     ("plain", "app.py", ""),
+    ("plain", "words.vtt", ""),
 ]
 MODES = [0o100600, 0o100640, 0o100644, 0o100664, 0o100666, 0o100755, 0o100711]
 BASE_TIME = 1_700_000_000

@@ -86,7 +86,7 @@ def _attributes(source: str, name: str) -> str:
   SELECT *, substr(sha256(md5(machine) || ':' || machine), 1, 16) AS machine_id,
          '{demo.SCAN_PATH}' AS scan_path,
          strlen(head) * CASE WHEN filename = 'pytorch_model.bin' THEN 1048576 ELSE 1 END AS size_bytes,
-         {float(demo.BASE_TIME)} + file_id * 61 + (file_id % 4) * 0.25 AS modified_timestamp,
+         CAST({demo.BASE_TIME} + file_id * 61 AS DOUBLE) + (file_id % 4) * CAST(0.25 AS DOUBLE) AS modified_timestamp,
          {demo.MODES}[file_id % {len(demo.MODES)} + 1] AS mode,
          'user' || (file_id % 5) AS owner, 'ml' AS "group",
          substr(path, {len(demo.SCAN_PATH) + 2}) AS rel

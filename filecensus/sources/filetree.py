@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecensus.functions import paths
+from filecensus.functions import paths, text
 from filecensus.operators import classify as C
 from filecensus.operators import filters, hashing, permissions
 from filecensus.operators import rules as R
@@ -242,14 +242,14 @@ def _content_needs(files: DataFrame, rules: R.Rules) -> DataFrame:
     ambiguous = ext.isin(*rules.ambiguous) if rules.ambiguous else F.lit(False)
     undecided = F.col("rule").isNull()
     raw = undecided & ambiguous & ext.isin(".bin", ".db", ".sqlite", ".sqlite3")
-    text = undecided & ext.isin(".yaml", ".yml", ".json", ".txt") & ~raw
+    words = undecided & ext.isin(".yaml", ".yml", ".json", ".txt")
     scan = (F.col("risk_level") != "danger") & ~F.arrays_overlap(
-        "categories", F.array(*[F.lit(c) for c in R.NOT_SCANNED_FOR_SECRETS])
+        "categories", text.strings(R.NOT_SCANNED_FOR_SECRETS)
     )
     marked = first.withColumns(
         {
             "needs_bytes": F.coalesce(raw, F.lit(False)),
-            "needs_text": F.coalesce(text, F.lit(False)) | F.coalesce(scan, F.lit(False))
+            "needs_text": F.coalesce(words, F.lit(False)) | F.coalesce(scan, F.lit(False))
             | F.coalesce(raw, F.lit(False)),
         }
     )
