@@ -162,7 +162,7 @@ def _describe(decided: DataFrame, keep_unclassified: bool) -> DataFrame:
     ``rule`` is never NULL and its meaning comes from a join, so filters on categories or
     risk stop above the join and the content tests are not repeated inside them.
     """
-    outcomes = F.broadcast(decided.sparkSession.createDataFrame(OUTCOMES, OUTCOME_SCHEMA))
+    outcomes = F.broadcast(R.local_table(decided.sparkSession, OUTCOMES, OUTCOME_SCHEMA))
     joined = decided.join(outcomes, "rule", "left" if keep_unclassified else "inner")
     ext, name, rule = F.col("_ext"), F.col("filename"), F.col("rule")
     by_extension, known = rule == "extension", F.col("detection_method").isNotNull()

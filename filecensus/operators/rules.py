@@ -10,8 +10,10 @@ import json
 import warnings
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # ---------------------------------------------------------------------------------------
 # They decide which category, risk and alert a file gets.
@@ -128,6 +130,17 @@ SECRET_CONTENT = [
     ("private_key", r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----"),
     ("connection_string", r"(?i)(mongodb\+srv|postgres|mysql)://[^@\s]+@"),
 ]
+# Words one of which, ignoring case, is part of every match of a rule.
+SECRET_ANCHORS = {
+    "api_key": ["api"],
+    "password": ["secret", "password", "passwd", "pwd"],
+    "access_token": ["access", "auth", "bearer"],
+    "aws_access_key": ["akia"],
+    "github_token": ["ghp_", "gho_", "ghs_", "ghr_"],
+    "sk_key": ["sk-"],
+    "private_key": ["-----begin"],
+    "connection_string": ["mongodb+srv", "postgres", "mysql"],
+}
 NOT_SCANNED_FOR_SECRETS = ["model", "multimedia", "checkpoint", "vector"]
 
 MODEL_FOLDER_FILES = [
@@ -258,4 +271,13 @@ class Rules:
             rows.append(
                 (ext, self.extensions.get(ext), ext in self.ambiguous, confidence, level, reason)
             )
-        return spark.createDataFrame(rows, EXTENSION_RULES)
+        return local_table(spark, rows, EXTENSION_RULES)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small driver-side table, handed over as Arrow data, so that reading it needs no job."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows))
+    arrow = to_arrow_schema(struct)
+    arrays = [pa.array(values, type=field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=struct.fieldNames()), struct)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +22,42 @@ def scannable() -> Column:
     )
 
 
+# Letters that match s and i without regard to case but are not lower-cased to them.
+ODD_LETTERS = ["ſ", "ı"]
+
+
+def _with_tests(seen: Column, rules: R.Rules, combine) -> Column:
+    """``combine`` of one test per rule on the text.
+
+    Most texts hold none of a rule's anchor words, which a substring search on the
+    lower-cased text finds out many times faster than the regex; the regex decides the rest.
+    """
+
+    def tests(lowered: Column) -> Column:
+        odd = F.contains(lowered, F.lit(ODD_LETTERS[0])) | F.contains(lowered, F.lit(ODD_LETTERS[1]))
+        found = []
+        for name, regex in rules.secrets:
+            hit = text.matches(seen, regex)
+            anchors = R.SECRET_ANCHORS.get(name) if (name, regex) in R.SECRET_CONTENT else None
+            if anchors:
+                likely = [F.contains(lowered, F.lit(word)) for word in anchors]
+                hit = (reduce(or_, likely) | odd) & hit
+            found.append(hit)
+        return combine(found)
+
+    return text.let(F.lower(seen), tests)
+
+
 def flag_embedded_secrets(files: DataFrame, rules: R.Rules | None = None) -> DataFrame:
     """Raise files whose text matches a secret rule to danger.
 
-    The cheap guard stands first, so the regexes run only on rows that can change.
+    The cheap guard stands first, so texts are searched only for rows that can change.
     """
     rules = rules or R.Rules()
     seen = text.first_chars(F.col("head"), rules.window.secret_chars)
-    found = text.matches_any(seen, [regex for _, regex in rules.secrets])
+    found = _with_tests(seen, rules, lambda tests: reduce(or_, tests))
     return (
-        files.withColumn("_embedded", F.when(scannable(), found).otherwise(F.lit(False)))
+        files.withColumn("_embedded", F.when(scannable(), F.coalesce(found, F.lit(False))).otherwise(F.lit(False)))
         .withColumns(
             {
                 "risk_level": F.when(F.col("_embedded"), "danger").otherwise(F.col("risk_level")),
@@ -44,15 +73,20 @@ def flag_embedded_secrets(files: DataFrame, rules: R.Rules | None = None) -> Dat
 def secret_hits(rows: DataFrame, text_col: str, rules: R.Rules | None = None) -> DataFrame:
     """One row per input row and matching rule, with ``rule_id`` added."""
     rules = rules or R.Rules()
+    names = [name for name, _ in rules.secrets]
     seen = text.first_chars(F.col(text_col), rules.window.secret_chars)
-    ids = [F.when(text.matches(seen, regex), F.lit(name)) for name, regex in rules.secrets]
-    return rows.withColumn("rule_id", F.explode(F.array_compact(F.array(*ids)))).drop(text_col)
+    ids = _with_tests(
+        seen, rules, lambda tests: F.array(*[F.when(t, F.lit(n)) for n, t in zip(names, tests)])
+    )
+    return rows.withColumn("rule_id", F.explode(F.array_compact(ids))).drop(text_col)
 
 
 def secret_rule_counts(rows: DataFrame, text_col: str, group: str, rules: R.Rules | None = None) -> DataFrame:
-    """Rows matching each rule per ``group``: one pass, one partial aggregate per rule."""
+    """Rows matching each rule per ``group``, rules without a match included, in one pass."""
     rules = rules or R.Rules()
+    names = [name for name, _ in rules.secrets]
     seen = text.first_chars(F.col(text_col), rules.window.secret_chars)
-    counts = [F.count_if(text.matches(seen, regex)).alias(name) for name, regex in rules.secrets]
-    wide = rows.groupBy(group).agg(*counts)
-    return wide.unpivot(group, [name for name, _ in rules.secrets], "rule_id", "n_rows")
+    flags = _with_tests(seen, rules, lambda tests: F.array(*tests))
+    tested = rows.select(group, flags.alias("_flags"))
+    counts = [F.count_if(F.col("_flags")[i]).alias(name) for i, name in enumerate(names)]
+    return tested.groupBy(group).agg(*counts).unpivot(group, names, "rule_id", "n_rows")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from filecensus.functions import paths, text
 from filecensus.operators import classify as C
 from filecensus.operators import filters, permissions, rollups
+from filecensus.operators import rules as R
 from filecensus.operators.secrets import flag_embedded_secrets
+from filecensus.sources import tables
 
 # Folder kind, file name and lead-in per slot; a document's slot is its id modulo the length.
 # Kinds: plain = a folder per document, hub = a folder many documents share, run = below a
@@ -91,12 +93,12 @@ FIRST_SCAN = "2026-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _catalog(spark: SparkSession) -> DataFrame:
     rows = [(i, *entry) for i, entry in enumerate(CATALOG)]
-    return F.broadcast(spark.createDataFrame(rows, "slot bigint, kind string, name string, lead string"))
+    return F.broadcast(R.local_table(spark, rows, "slot bigint, kind string, name string, lead string"))
 
 
 def _with_attributes(files: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def _with_attributes(files: DataFrame) -> DataFrame:
 
 
 def _document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = tables.spread(table(spark, sf_dir, "documents"))
     ident = F.col("doc_id")
     docs = docs.withColumn("slot", ident % len(CATALOG)).join(_catalog(spark), "slot")
     group = F.floor(ident / 1000).cast("string")
@@ -191,7 +193,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.when(low & ~toxic, versions).otherwise(F.slice(versions, 1, 1))
     docs = docs.select("file_id", "machine", "path", "lead", "text", F.inline(kept))
     docs = docs.select("file_id", "machine", "path", "scans", F.concat("lead", "text", "mark").alias("head"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = tables.spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("file_id"),
         F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("machine"),
         F.concat(F.lit(f"{SCAN_PATH}/web/"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"),

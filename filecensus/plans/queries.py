@@ -18,6 +18,7 @@ from filecensus.session import work_dir
 from filecensus.sinks import reports as sink
 from filecensus.sources import filetree
 from filecensus.sources import reports as source
+from filecensus.sources import tables
 from filecensus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,7 +221,7 @@ _TEXTS = (
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("documents", "doc_id", "text"), ("conversations", "conv_id", "text"), ("pages", "page_id", "html")]
     frames = [
-        demo.table(spark, sf_dir, name).select(
+        tables.spread(demo.table(spark, sf_dir, name)).select(
             F.lit(name).alias("origin"), F.col(ident).alias("id"), F.col(body).alias("text")
         )
         for name, ident, body in parts
@@ -336,7 +337,7 @@ def derived_columns(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 12) || '…' AS short_hash FROM documents")
 def content_hash(spark, sf_dir):
     digest = hashing.text_hash(F.col("text"))
-    rows = demo.table(spark, sf_dir, "documents").select("doc_id", digest.alias("hash"))
+    rows = tables.spread(demo.table(spark, sf_dir, "documents")).select("doc_id", digest.alias("hash"))
     return rows.withColumn("short_hash", sizes.short_hash(F.col("hash")))
 
 
