@@ -126,7 +126,7 @@ def _with_attributes(files: DataFrame) -> DataFrame:
 
 
 def _document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     ident = F.col("doc_id")
     docs = docs.withColumn("slot", ident % len(CATALOG)).join(_catalog(spark), "slot")
     group = F.floor(ident / 1000).cast("string")
@@ -157,7 +157,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(found: DataFrame, options: filters.ScanOptions = filters.ScanOptions()) -> DataFrame:
     """Walk, classify, flag secrets and check permissions; checkpoint folders are left out."""
-    files = filters.plain_files(filters.walk(found, options))
+    files = tables.spread(filters.plain_files(filters.walk(found, options)))
     rows = flag_embedded_secrets(C.classify(files, listing=found))
     return permissions.add_permission_alerts(permissions.add_permissions(rows))
 
@@ -193,7 +193,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.when(low & ~toxic, versions).otherwise(F.slice(versions, 1, 1))
     docs = docs.select("file_id", "machine", "path", "lead", "text", F.inline(kept))
     docs = docs.select("file_id", "machine", "path", "scans", F.concat("lead", "text", "mark").alias("head"))
-    pages = tables.spread(table(spark, sf_dir, "pages")).select(
+    pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_id"),
         F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("machine"),
         F.concat(F.lit(f"{SCAN_PATH}/web/"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"),

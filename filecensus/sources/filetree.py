@@ -9,6 +9,7 @@ All executors must see the tree under the same path.
 
 from __future__ import annotations
 
+import io
 import os
 import stat
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ STAT = (
 )
 BATCH_ROWS = 5000
 CHUNK_BYTES = 65536
+HEADS_PER_BATCH = 256
 
 
 def _list_folders(follow_symlinks: bool):
@@ -197,32 +199,30 @@ def _ddl(df: DataFrame) -> str:
 
 def _read_heads(chars: int | None, database_bytes: int | None):
     """Leading text and bytes of each file, opened once; unreadable files have neither."""
-    text_bytes = None if chars is None else chars * 4 + CHUNK_BYTES
-    limit = None if None in (text_bytes, database_bytes) else max(text_bytes, database_bytes)
+
+    def head(path: str, wants_text: bool, wants_bytes: bool) -> tuple[str | None, bytes | None]:
+        if not (wants_text or wants_bytes):
+            return None, None
+        try:
+            with open(path, "rb") as fh:
+                raw = fh.read(database_bytes) if wants_bytes else None
+                fh.seek(0)
+                decoded = io.TextIOWrapper(fh, encoding="utf-8", errors="ignore")
+                return decoded.read(chars) if wants_text else None, raw
+        except OSError:
+            return None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                heads, raws = [], []
-                for path, text, raw in zip(part["path"], part["needs_text"], part["needs_bytes"]):
-                    try:
-                        with open(path, "rb") as fh:
-                            data = fh.read(limit) if limit is not None else fh.read()
-                    except OSError:
-                        data = None
-                    heads.append(_as_text(data, chars) if text and data is not None else None)
-                    raws.append(data[:database_bytes] if raw and data is not None else None)
-                yield part.assign(head=heads, head_bytes=raws)
+            for at in range(0, len(batch), HEADS_PER_BATCH):
+                part = batch.iloc[at : at + HEADS_PER_BATCH]
+                wanted = zip(part["path"], part["needs_text"], part["needs_bytes"])
+                heads = [head(*w) for w in wanted]
+                yield part.assign(head=[h for h, _ in heads], head_bytes=[r for _, r in heads])
 
     return run
 
 
-def _as_text(data: bytes, chars: int | None) -> str:
-    text = data.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
-    return text if chars is None else text[:chars]
-
-
 def add_heads(files: DataFrame, window: R.Window) -> DataFrame:
     """``head`` and ``head_bytes`` of files that rules may look into.
 
