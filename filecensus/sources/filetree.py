@@ -128,7 +128,7 @@ def list_tree(spark: SparkSession, root: str, options: filters.ScanOptions = fil
         placed.write.mode("overwrite").parquet(f"{table}/level={level}")
         frontier = spark.read.parquet(f"{table}/level={level}").filter("descend")
         if options.follow_symlinks:
-            frontier = frontier.dropDuplicates(["real_path"])
+            frontier = frontier.groupBy("real_path").agg(F.min("path").alias("path"))
             if level:
                 above = [f"{table}/level={n}" for n in range(level)]
                 seen = spark.read.parquet(*above).filter("descend").select("real_path")
