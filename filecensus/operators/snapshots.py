@@ -69,9 +69,6 @@ def diff_summary(changes: DataFrame, keys: list[str] = []) -> DataFrame:
     )
 
 
-SEQUENCE = ["machine_id", "scan_path"]
-
-
 def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report_id"]) -> DataFrame:
     """Add the report before each report of the same machine and scan path.
 
@@ -79,23 +76,25 @@ def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report
     first report takes the last one of the day before it.  So no window holds the whole
     history of a machine that sends very many reports.
     """
-    dated = reports.withColumn("_day", F.to_date("received_at"))
+    path = F.coalesce("scan_path", F.lit(""))
+    dated = reports.withColumns({"_day": F.to_date("received_at"), "_path": path})
+    sequence = ["machine_id", "_path"]
     info = F.struct("report_id", "scan_time").alias("_info")
-    days = dated.groupBy(*SEQUENCE, "_day").agg(F.max_by(info, F.struct(*order)).alias("_last"))
-    by_day = W.partitionBy(*SEQUENCE).orderBy("_day")
+    days = dated.groupBy(*sequence, "_day").agg(F.max_by(info, F.struct(*order)).alias("_last"))
+    by_day = W.partitionBy(*sequence).orderBy("_day")
     days = days.withColumn("_before", F.lag("_last").over(by_day)).drop("_last")
-    within = W.partitionBy(*SEQUENCE, "_day").orderBy(*order)
+    within = W.partitionBy(*sequence, "_day").orderBy(*order)
     chained = dated.withColumn("_within", F.lag(F.struct("report_id", "scan_time")).over(within))
     before = F.coalesce("_within", "_before")
     return (
-        chained.join(days, [*SEQUENCE, "_day"], "left")
+        chained.join(days, [*sequence, "_day"], "left")
         .withColumns(
             {
                 "previous_report_id": before["report_id"],
                 "previous_time": before["scan_time"],
             }
         )
-        .drop("_day", "_within", "_before")
+        .drop("_day", "_path", "_within", "_before")
     )
 
 

@@ -13,6 +13,7 @@ from filecensus.session import work_dir
 from filecensus.sources import reports as source
 
 POLL_SECONDS = 30
+ARRIVAL = ["batch_id", "received_at", "report_id"]
 
 
 class FleetStore:
@@ -86,13 +87,13 @@ def ingest_batch(store: FleetStore):
         store.write(fleet.alerts(fresh, own), "alerts", batch_id)
         store.write(fleet.alert_files(own), "alert_files", batch_id)
 
-        until_now = done.filter(F.col("batch_id") <= batch_id)
-        ordered = snapshots.with_previous(until_now, ["batch_id", "received_at", "report_id"])
+        ordered = snapshots.with_previous(_with_last_before(done, fresh, batch_id), ARRIVAL)
         pairs = ordered.filter((F.col("batch_id") == batch_id) & F.col("previous_report_id").isNotNull())
         store.write(pairs.select("report_id", "previous_report_id", "previous_time", "machine_id", "received_at"), "pairs", batch_id)
         pairs = store.read("pairs").filter(F.col("batch_id") == batch_id).drop("batch_id")
         needed = pairs.select("report_id").union(pairs.select("previous_report_id")).distinct()
-        where = until_now.select("report_id", "batches").join(needed, "report_id", "left_semi")
+        spots = done.filter(F.col("batch_id") <= batch_id).select("report_id", "batches")
+        where = spots.join(needed, "report_id", "left_semi")
         changes = snapshots.consecutive_changes(_files_of(files, where), pairs)
         store.write(fleet.computed_changes(changes, pairs), "computed_changes", batch_id)
 
@@ -118,6 +119,25 @@ def _completed(store: FleetStore, batch_id: int) -> DataFrame:
     )
 
 
+def _with_last_before(done: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
+    """This batch's reports and, for the machines among them, the last report before it.
+
+    The history is only aggregated (one row per machine and path), never sorted.
+    """
+    columns = ["batch_id", "received_at", "report_id", "scan_time", "machine_id", "scan_path"]
+    new = fresh.withColumn("batch_id", F.lit(batch_id)).select(*columns)
+    touched = new.select("machine_id").distinct()
+    earlier = done.filter(F.col("batch_id") < batch_id).select(*columns)
+    last = F.max_by(F.struct(*columns[:4]), F.struct(*ARRIVAL)).alias("_r")
+    kept = (
+        earlier.join(touched, "machine_id", "left_semi")
+        .groupBy("machine_id", "scan_path")
+        .agg(last)
+        .select("_r.*", "machine_id", "scan_path")
+    )
+    return new.unionByName(kept)
+
+
 def _files_of(files: DataFrame, where: DataFrame) -> DataFrame:
     """Files of the given reports; only the batch folders named in ``where`` are read."""
     spots = where.select("report_id", F.explode("batches").alias("batch_id"))
