@@ -100,18 +100,17 @@ def _content_rule(window: R.Window) -> Column:
 
 
 def model_folders(listing: DataFrame) -> DataFrame:
-    """Folders holding both a large ``.bin`` file and a model config file.
+    """Folders holding both a ``.bin`` file and a model config file.
 
-    ``listing`` is the unfiltered listing; only rows of the two kinds take part, and
-    partial aggregation leaves one row per folder and task before the shuffle.
+    ``listing`` is the unfiltered listing, of which only names and paths are read; partial
+    aggregation leaves one row per folder and task before the shuffle.
     """
     name = F.col("filename")
-    indicator = name.isin(R.MODEL_FOLDER_FILES)
-    large = (paths.extension(name) == ".bin") & (F.col("size_bytes") > R.LARGE_BINARY_BYTES)
+    indicator, binary = name.isin(R.MODEL_FOLDER_FILES), F.lower(name).endswith(".bin")
     return (
-        listing.filter(indicator | large)
+        listing.filter(indicator | binary)
         .groupBy("machine_id", paths.dirname(F.col("path")).alias("_parent"))
-        .agg(F.bool_or(indicator).alias("_has_config"), F.bool_or(large).alias("_has_binary"))
+        .agg(F.bool_or(indicator).alias("_has_config"), F.bool_or(binary).alias("_has_binary"))
         .filter("_has_config AND _has_binary")
         .select("machine_id", "_parent", F.lit(True).alias("_model_folder"))
     )
@@ -126,7 +125,7 @@ def classify(
     """Add categories, category, detection method, confidence and risk to files.
 
     ``files`` needs path, filename, size_bytes, head (text) and head_bytes (binary).
-    ``listing`` (machine_id, path, filename, size_bytes of *all* files) switches on the
+    ``listing`` (machine_id, path, filename of *all* files) switches on the
     rule that a large ``.bin`` beside a model config is a model.  Rows no rule matches are
     dropped unless ``keep_unclassified``.
     """

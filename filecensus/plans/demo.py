@@ -155,10 +155,15 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_attributes(found.withColumn("head", F.concat("lead", "text"))).drop("lead", "text")
 
 
-def classified(found: DataFrame, options: filters.ScanOptions = filters.ScanOptions()) -> DataFrame:
+def classified(
+    found: DataFrame,
+    options: filters.ScanOptions = filters.ScanOptions(),
+    siblings: DataFrame | None = None,
+) -> DataFrame:
     """Walk, classify, flag secrets and check permissions; checkpoint folders are left out."""
+    siblings = found if siblings is None else siblings
     files = tables.spread(filters.plain_files(filters.walk(found, options)))
-    rows = flag_embedded_secrets(C.classify(files, listing=found))
+    rows = flag_embedded_secrets(C.classify(files, listing=siblings))
     return permissions.add_permission_alerts(permissions.add_permissions(rows))
 
 
@@ -201,7 +206,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("head"),
     )
     found = _with_attributes(docs.unionByName(pages)).withColumn("hash", F.sha2("head", 256))
-    rows = classified(found)
+    rows = classified(found, siblings=listing(spark, sf_dir))
     scan_no = F.explode("scans").alias("scan_no")
     return rows.select(
         "machine_id", "machine", "scan_path", scan_no, "path", "filename", "extension", "category",

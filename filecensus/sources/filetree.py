@@ -309,7 +309,7 @@ def scan(
     files = filters.plain_files(walked).filter("is_file")
     files = filters.at_least(files, options.min_size_bytes).drop("checkpoint", "total_bytes", "is_file")
     headed = add_heads(_content_needs(files, rules), rules.window)
-    siblings = readable.filter(~F.col("is_directory")).select("machine_id", "path", "filename", "size_bytes")
+    siblings = readable.filter(~F.col("is_directory")).select("machine_id", "path", "filename")
     classified = flag_embedded_secrets(C.classify(headed, rules, siblings), rules).drop(
         "head", "head_bytes", "needs_text", "needs_bytes", "is_symlink"
     )
