@@ -125,10 +125,14 @@ def _with_attributes(files: DataFrame) -> DataFrame:
     )
 
 
-def _document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def content_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are searched: spread over the cores if it has few splits."""
+    return tables.spread(table(spark, sf_dir, name))
+
+
+def _document_paths(docs: DataFrame) -> DataFrame:
     ident = F.col("doc_id")
-    docs = docs.withColumn("slot", ident % len(CATALOG)).join(_catalog(spark), "slot")
+    docs = docs.withColumn("slot", ident % len(CATALOG)).join(_catalog(docs.sparkSession), "slot")
     group = F.floor(ident / 1000).cast("string")
     doc = ident.cast("string")
     place = (
@@ -149,21 +153,31 @@ def _document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listing(docs: DataFrame) -> DataFrame:
+    found = _document_paths(docs)
+    return _with_attributes(found.withColumn("head", F.concat("lead", "text"))).drop("lead", "text")
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unfiltered listing: one file per document, content in ``head``."""
-    found = _document_paths(spark, sf_dir)
-    return _with_attributes(found.withColumn("head", F.concat("lead", "text"))).drop("lead", "text")
+    return _listing(table(spark, sf_dir, "documents"))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows for work on their texts."""
+    return _listing(content_table(spark, sf_dir, "documents"))
 
 
 def classified(
-    found: DataFrame,
+    spark: SparkSession,
+    sf_dir: str,
     options: filters.ScanOptions = filters.ScanOptions(),
-    siblings: DataFrame | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Walk, classify, flag secrets and check permissions; checkpoint folders are left out."""
-    siblings = found if siblings is None else siblings
-    files = tables.spread(filters.plain_files(filters.walk(found, options)))
-    rows = flag_embedded_secrets(C.classify(files, listing=siblings))
+    found = contents(spark, sf_dir) if found is None else found
+    files = filters.plain_files(filters.walk(found, options))
+    rows = flag_embedded_secrets(C.classify(files, listing=listing(spark, sf_dir)))
     return permissions.add_permission_alerts(permissions.add_permissions(rows))
 
 
@@ -175,7 +189,7 @@ def inventory(spark: SparkSession, sf_dir: str, options: filters.ScanOptions = f
         "machine_id", "scan_path", "path", "filename", "is_directory", "size_bytes", "extension",
         "categories", "category", "rule", "detection_method", "confidence", "risk_level", "risk_reason",
     ]
-    return classified(found, options).select(*columns).unionByName(C.checkpoint_rows(folders).select(*columns))
+    return classified(spark, sf_dir, options).select(*columns).unionByName(C.checkpoint_rows(folders).select(*columns))
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +201,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"), F.max(F.when(F.col("quality") == 0, 1)).alias("low")
     )
-    docs = _document_paths(spark, sf_dir).join(labels, F.col("file_id") == F.col("doc_id"), "left")
+    docs = _document_paths(content_table(spark, sf_dir, "documents")).join(labels, F.col("file_id") == F.col("doc_id"), "left")
     toxic, low = F.coalesce("toxic", F.lit(0)) == 1, F.col("low") == 1
     first = F.array(F.lit(0))
     original = F.when(toxic | low, first).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
@@ -198,7 +212,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.when(low & ~toxic, versions).otherwise(F.slice(versions, 1, 1))
     docs = docs.select("file_id", "machine", "path", "lead", "text", F.inline(kept))
     docs = docs.select("file_id", "machine", "path", "scans", F.concat("lead", "text", "mark").alias("head"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = content_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("file_id"),
         F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("machine"),
         F.concat(F.lit(f"{SCAN_PATH}/web/"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"),
@@ -206,7 +220,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("head"),
     )
     found = _with_attributes(docs.unionByName(pages)).withColumn("hash", F.sha2("head", 256))
-    rows = classified(found, siblings=listing(spark, sf_dir))
+    rows = classified(spark, sf_dir, found=found)
     scan_no = F.explode("scans").alias("scan_no")
     return rows.select(
         "machine_id", "machine", "scan_path", scan_no, "path", "filename", "extension", "category",

@@ -18,7 +18,6 @@ from filecensus.session import work_dir
 from filecensus.sinks import reports as sink
 from filecensus.sources import filetree
 from filecensus.sources import reports as source
-from filecensus.sources import tables
 from filecensus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,9 +194,8 @@ def classify_files(spark, sf_dir):
 
 @query(INV + "SELECT machine_id, path FROM files WHERE rule IS NULL")
 def unclassified_files(spark, sf_dir):
-    found = demo.listing(spark, sf_dir)
-    files = filters.plain_files(filters.walk(found))
-    return C.classify(files, listing=found, keep_unclassified=True).filter("rule IS NULL").select(*FILE_KEYS)
+    files = filters.plain_files(filters.walk(demo.contents(spark, sf_dir)))
+    return C.classify(files, listing=demo.listing(spark, sf_dir), keep_unclassified=True).filter("rule IS NULL").select(*FILE_KEYS)
 
 
 @query(INV + "SELECT machine_id, path, risk_level, risk_reason FROM inv WHERE risk_level IN ('danger', 'warning')")
@@ -221,7 +219,7 @@ _TEXTS = (
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("documents", "doc_id", "text"), ("conversations", "conv_id", "text"), ("pages", "page_id", "html")]
     frames = [
-        tables.spread(demo.table(spark, sf_dir, name)).select(
+        demo.content_table(spark, sf_dir, name).select(
             F.lit(name).alias("origin"), F.col(ident).alias("id"), F.col(body).alias("text")
         )
         for name, ident, body in parts
@@ -250,7 +248,7 @@ def secret_rule_hits(spark, sf_dir):
     )
 )
 def secret_findings(spark, sf_dir):
-    rows = demo.listing(spark, sf_dir).select("machine_id", "path", "head")
+    rows = demo.contents(spark, sf_dir).select("machine_id", "path", "head")
     return S.secret_hits(rows, "head", SECRET_RULES)
 
 
@@ -259,7 +257,7 @@ def secret_findings(spark, sf_dir):
     "FROM files WHERE rule IS NOT NULL AND permission_alert IS NOT NULL"
 )
 def permission_alerts(spark, sf_dir):
-    rows = filters.with_permission_issues(demo.classified(demo.listing(spark, sf_dir)))
+    rows = filters.with_permission_issues(demo.classified(spark, sf_dir))
     return rows.select(*FILE_KEYS, "permissions", "permission_alert", "permission_alert_reason")
 
 
@@ -269,7 +267,7 @@ def permission_alerts(spark, sf_dir):
 def permission_alert_counts(spark, sf_dir):
     from filecensus.operators.permissions import permission_alert_counts as counts
 
-    return counts(demo.classified(demo.listing(spark, sf_dir)))
+    return counts(demo.classified(spark, sf_dir))
 
 
 OVERRIDES = {
@@ -299,9 +297,8 @@ def rule_override(spark, sf_dir):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         rules = R.Rules().with_overrides(OVERRIDES)
-    found = demo.listing(spark, sf_dir)
-    files = filters.plain_files(filters.walk(found))
-    rows = S.flag_embedded_secrets(C.classify(files, rules, found), rules)
+    files = filters.plain_files(filters.walk(demo.contents(spark, sf_dir)))
+    rows = S.flag_embedded_secrets(C.classify(files, rules, demo.listing(spark, sf_dir)), rules)
     return rows.select(
         *FILE_KEYS, F.array_join("categories", "|").alias("categories"), "detection_method", "risk_level", "risk_reason"
     )
@@ -337,7 +334,7 @@ def derived_columns(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 12) || '…' AS short_hash FROM documents")
 def content_hash(spark, sf_dir):
     digest = hashing.text_hash(F.col("text"))
-    rows = tables.spread(demo.table(spark, sf_dir, "documents")).select("doc_id", digest.alias("hash"))
+    rows = demo.content_table(spark, sf_dir, "documents").select("doc_id", digest.alias("hash"))
     return rows.withColumn("short_hash", sizes.short_hash(F.col("hash")))
 
 
@@ -438,7 +435,7 @@ def sort_topn_name(spark, sf_dir):
     INV + "SELECT machine_id, path FROM files WHERE rule IS NOT NULL ORDER BY modified_timestamp DESC, path, machine_id LIMIT 40"
 )
 def sort_topn_date(spark, sf_dir):
-    rows = demo.classified(demo.listing(spark, sf_dir))
+    rows = demo.classified(spark, sf_dir)
     return ordering.top_files(rows, 40, "date", ["path", "machine_id"]).select(*FILE_KEYS)
 
 
@@ -761,7 +758,7 @@ def stream_changes(spark, sf_dir):
     FROM files WHERE rule IS NOT NULL"""
 )
 def csv_report(spark, sf_dir):
-    rows = demo.classified(demo.listing(spark, sf_dir)).withColumn("hash", F.sha2("head", 256)).drop("head", "head_bytes")
+    rows = demo.classified(spark, sf_dir).withColumn("hash", F.sha2("head", 256)).drop("head", "head_bytes")
     path = work_dir(spark, "csv")
     sink.write_csv(stored(rows, "rows"), path)
     types = ", ".join(
@@ -777,7 +774,7 @@ def csv_report(spark, sf_dir):
     owner, {oracle.PERMISSIONS} AS permissions, permission_alert, modified_timestamp FROM files WHERE rule IS NOT NULL"""
 )
 def json_report(spark, sf_dir):
-    rows = demo.classified(demo.listing(spark, sf_dir)).drop("head", "head_bytes")
+    rows = demo.classified(spark, sf_dir).drop("head", "head_bytes")
     path = work_dir(spark, "json")
     sink.write_json_report(stored(rows, "rows"), ["machine_id", "scan_path"], path)
     back = spark.read.schema(schema.REPORT_FILE).json(f"{path}/files")
