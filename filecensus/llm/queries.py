@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filecensus.llm import ngram_join
+from filecensus.llm import ngram_join, suffix_dedup
 from filecensus.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +30,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets overlap by 80 % or more."""
     found = ngram_join.set_components(documents(spark, sf_dir))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without strings of 200 bytes that also start elsewhere."""
+    found = suffix_dedup.repeated_spans(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["high"] - s["low"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
