@@ -158,6 +158,20 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("o", F.size(F.array_intersect("tx", "ty")).cast("long")).drop("tx", "ty")
 
 
+def still_possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, nx, ny, ...) whose prefixes do not rule a link out.
+
+    Of two prefixes, the one that ends first in the common order has nothing outside the other
+    prefix that the other set could still hold, so the overlap is at most that set's size
+    less what its prefix does not share.
+    """
+    shared = F.size(F.array_intersect("tx", "ty"))
+    bound = F.greatest(F.col("nx") - F.size("tx"), F.col("ny") - F.size("ty")) + shared
+    left = pairs.join(prefixes.select(F.col("set_id").alias("y"), F.col("prefix").alias("ty")), "y")
+    both = left.join(prefixes.select(F.col("set_id").alias("x"), F.col("prefix").alias("tx")), "x")
+    return both.where(bound >= needed(F.col("nx"), F.col("ny"), percent)).drop("tx", "ty")
+
+
 def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -169,10 +183,8 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """
     index = stored(prefix_index(docs, width, percent), "prefixes")
     members = index.select("doc_id", "set_id", "n")
-    lists = (
-        index.where("n > 0").groupBy("set_id", "n").agg(F.any_value("prefix").alias("prefix"))
-        .select("set_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    )
+    prefixes = index.where("n > 0").groupBy("set_id", "n").agg(F.any_value("prefix").alias("prefix"))
+    lists = prefixes.select("set_id", "n", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     # A list with one set links nothing.  The least set_id is the pivot of its list.
     lists = stored(
@@ -182,22 +194,26 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .select("token", "set_id", "n", "pos", F.col("pivot.set_id").alias("pivot"), F.col("pivot.n").alias("pivot_n")),
         "lists",
     )
+    company = stored(prefixes.join(lists.select("set_id").distinct(), "set_id", "left_semi"), "company")
+
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """Sets that pairs ask for, from the texts of one document each."""
+        sources = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("own")).select("own")
+        chosen = docs.select("doc_id", "text").join(sources, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+        found = _set_rows(chosen, width).join(wanted, "set_id", "left_semi")
+        return stored(found.groupBy("set_id").agg(F.any_value("tokens").alias("tokens")), "sets")
+
+    def ends(pairs: DataFrame, *columns: str) -> DataFrame:
+        return pairs.select(F.explode(F.array(*columns)).alias("set_id")).distinct()
+
     small, large = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
-    star_pairs = stored(
+    proposed = (
         lists.where((F.col("set_id") != F.col("pivot")) & (100 * small >= percent * large))
         .select(F.col("set_id").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("nx"), F.col("pivot_n").alias("ny"))
-        .distinct(),
-        "star-pairs",
-    )
-    # Only sets of lists with company are ever compared, so only their texts are read again.
-    wanted = lists.select("set_id").distinct()
-    sources = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.select("doc_id", "text").join(sources.select(F.col("doc_id").alias("own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-    sets = stored(
-        _set_rows(chosen, width).join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.any_value("tokens").alias("tokens")),
-        "sets",
+        .distinct()
     )
-    stars = stored(overlaps(star_pairs, sets), "stars")
+    star_pairs = stored(still_possible(proposed, company, percent), "star-pairs")
+    stars = stored(overlaps(star_pairs, whole_sets(ends(star_pairs, "x", "y"))), "stars")
     star_edges = stars.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     known = stored(components(star_edges), "known")
 
@@ -233,7 +249,7 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     upper = side("y", placed.withColumn("block", F.explode(F.array("block", F.col("block") - 1))))
     need = needed(F.col("n_x"), F.col("n_y"), percent)
     entered = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    crossing = stored(
+    entries = (
         lower.join(upper, ["token", "block"])
         .where((F.col("component_x") != F.col("component_y")) & (entered >= need))
         .where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
@@ -242,9 +258,10 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
             F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), F.col("n_x").alias("nx"), F.col("n_y").alias("ny"),
             F.col("center_x").alias("cx"), F.col("center_y").alias("cy"), F.col("extra_x").alias("ex"), F.col("extra_y").alias("ey"),
         )
-        .distinct(),
-        "crossing",
+        .distinct()
     )
+    crossing = stored(still_possible(entries, company, percent), "crossing")
+    sets = whole_sets(ends(crossing, "x", "y", "cx", "cy"))
     # An overlap of members is at most that of their pivots plus what each pivot lacks.
     centers = stored(overlaps(crossing.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), sets), "centers")
     open_pairs = (
