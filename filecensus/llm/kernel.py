@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecensus.llm import ngram_join, suffix_dedup
+from filecensus.llm import mixing, ngram_join, quality, suffix_dedup
 from filecensus.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,54 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every text and whether it is kept by the weighed votes of the rules."""
+    found = quality.assess(documents(spark, sf_dir))
+    return found.select("doc_id", *quality.MEASURES, "base_failed", "kept", "quality")
+
+
+@query(
+    """
+    WITH sized AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+    ), drawn AS (
+      SELECT *, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size) AS draw FROM sized
+    ), sources AS (
+      SELECT source, sum(size)::BIGINT AS source_size,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+      FROM drawn GROUP BY source
+    ), filled AS (
+      -- sources in the order in which a rising level clamps them, and the level if all before are clamped
+      SELECT *, 3 * source_size / weight AS reach,
+             (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+               / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM sources
+      WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), levels AS (SELECT max(level) FILTER (level <= reach) AS level FROM filled
+    ), targets AS (
+      SELECT source, source_size, CASE WHEN source_size > 0 THEN least(weight * levels.level, 3.0::DOUBLE * source_size) ELSE 0 END AS target
+      FROM sources, levels
+    ), goals AS (
+      SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS repeats FROM targets
+    ), units AS (
+      SELECT source, draw, sum(size) AS words, count(*) AS n,
+             sum(sum(size)) OVER (PARTITION BY source ORDER BY draw) - sum(size) AS so_far
+      FROM drawn GROUP BY source, draw
+    )
+    SELECT d.doc_id, d.size, g.source_size::BIGINT AS source_size, g.target::DOUBLE AS target,
+           (g.repeats * d.size + CASE
+              WHEN floor(g.target)::BIGINT - g.repeats * g.source_size >= u.so_far + u.words THEN d.size
+              WHEN floor(g.target)::BIGINT - g.repeats * g.source_size <= u.so_far THEN 0
+              ELSE (floor(g.target)::BIGINT - g.repeats * g.source_size - u.so_far) // u.n END)::BIGINT AS taken
+    FROM drawn d
+    JOIN goals g ON g.source IS NOT DISTINCT FROM d.source
+    JOIN units u ON u.source IS NOT DISTINCT FROM d.source AND u.draw = d.draw
+    """
+)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by a mix of sources weighing 1, 2, 3 with at most three repetitions."""
+    found = mixing.mix(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", "taken")

@@ -23,7 +23,7 @@ from filecensus.llm.shared import stored
 
 GRAM = 24
 #: Bytes of stretches whose suffixes are sorted at once; anchors with more are split by window.
-SUFFIX_BLOCK = 2 << 20
+SUFFIX_BLOCK = 1 << 20
 #: A stretch is cut after this many windows.
 STRETCH = 1 << 14
 
@@ -32,11 +32,11 @@ STRETCH = 1 << 14
 
 
 def stretches(block: kernel.Block, length: int) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, windows, anchor, whether the anchor's gram stands there twice) of every stretch."""
+    """(row, start in the row, windows, anchor, whether its gram stands there twice, hash of the bytes) of every stretch."""
     size = len(block.data)
     empty = np.zeros(0, np.int64)
     if size < length:
-        return empty, empty, empty, empty, empty.astype(bool)
+        return empty, empty, empty, empty, empty.astype(bool), empty
     sums = kernel.prefix_sums(block.data, kernel.CASED_VALUES)
     at = np.arange(size - GRAM + 1)
     grams, width = kernel.slice_hash(sums, at, at + GRAM), length - GRAM + 1
@@ -60,7 +60,8 @@ def stretches(block: kernel.Block, length: int) -> tuple[np.ndarray, ...]:
     held = anchors[np.arange(len(stretch)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[stretch]]
     own = grams[held] == least[begin][stretch]
     twice = np.bincount(stretch[own], minlength=len(begin)) > 1
-    return row + block.first, begin - block.offsets[row], count, least[begin].view(np.int64), twice
+    copy = kernel.slice_hash(sums, begin, begin + count + length - 1).view(np.int64)
+    return row + block.first, begin - block.offsets[row], count, least[begin].view(np.int64), twice, copy
 
 
 def _find_stretches(length: int):
@@ -70,14 +71,15 @@ def _find_stretches(length: int):
             content = batch.column(0).to_numpy()
             fresh = np.array([c not in seen and not seen.add(c) for c in content.tolist()], dtype=bool)
             for block in kernel.blocks(batch.column(1)):
-                row, start, count, anchor, twice = stretches(block, length)
+                row, start, count, anchor, twice, copy = stretches(block, length)
                 new = fresh[row]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor[new]), pa.array(content[row[new]]),
                         pa.array(start[new].astype(np.int64)), pa.array(count[new].astype(np.int64)), pa.array(twice[new]),
+                        pa.array(copy[new]),
                     ],
-                    names=["anchor", "content", "start", "windows", "twice"],
+                    names=["anchor", "content", "start", "windows", "twice", "copy"],
                 )
 
     return find
@@ -112,10 +114,10 @@ def _previous_smaller(values: np.ndarray) -> np.ndarray:
     return found
 
 
-def match_lengths(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def match_lengths(data: np.ndarray, starts: np.ndarray, length: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Longest match, cut at ``length``, of each start with an earlier and with a later start.
 
-    ``starts`` ascend, each with at least ``length`` bytes behind it; the block has fewer than
+    Shorter matches are worked out with ``exact`` only, else they are 0.  ``starts`` ascend, each with at least ``length`` bytes behind it; the block has fewer than
     2^21 bytes, so that three ranks fit a 64-bit key.
     """
     size = len(data)
@@ -130,11 +132,14 @@ def match_lengths(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         ranks = np.concatenate((ranks, np.zeros(2 * width, np.uint64)))
         levels.append((3 * width, _ranks(_joined(ranks, at, [0, width, 2 * width]))))
     width, ranks = levels[-1]
-    order = np.argsort(_joined(ranks, starts, sorted({0, min(width, length - width), length - width})), kind="stable")
-    places = starts[order]
+    keys = _joined(ranks, starts, sorted({0, min(width, length - width), length - width}))
+    order = np.argsort(keys, kind="stable")
+    places, keys = starts[order], keys[order]
 
     def common(other: np.ndarray) -> np.ndarray:
         have = other >= 0
+        if not exact:
+            return np.where(have & (keys == keys[other]), length, 0)
         a, b = places[have], places[other[have]]
         done = np.zeros(len(a), dtype=np.int64)
         for width, ranks in reversed([(1, padded), *levels]):
@@ -297,22 +302,31 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none") -> Da
     docs = docs.select("doc_id", text)
     content = F.xxhash64("text", F.octet_length("text")).alias("content")
     places = docs.select(content, "text").where(F.octet_length("text") >= length).mapInArrow(
-        _find_stretches(length), "anchor long, content long, start long, windows long, twice boolean"
+        _find_stretches(length), "anchor long, content long, start long, windows long, twice boolean, copy long"
     )
-    by_anchor = Window.partitionBy("anchor")
-    place = F.struct("content", "start")
-    shared = (
-        places.withColumn("low", F.min(place).over(by_anchor)).withColumn("high", F.max(place).over(by_anchor))
+    # Equal stretches are one: all but the first have a copy elsewhere, and the first meets the
+    # other stretches of the anchor.  Places are in the order of their rows' least ids.
+    contents = docs.groupBy(content).agg(F.any_value("text").alias("text"), F.min("doc_id").cast("long").alias("ord"))
+    if keep == "first":
+        places = places.join(docs.groupBy(content).agg(F.min("doc_id").cast("long").alias("ord")), "content")
+    else:
+        places = places.withColumn("ord", F.lit(0).cast("long"))
+    by_copy, by_anchor = Window.partitionBy("anchor", "copy", "windows"), Window.partitionBy("anchor")
+    place, size = F.struct("ord", "content", "start"), F.col("windows") + (length - 1)
+    shared = stored(
+        places.repartition("anchor").withColumn("copies", F.count("*").over(by_copy))
+        .withColumn("lead", place == F.min(place).over(by_copy))
+        .withColumn("low", F.min(F.struct("copy", "windows")).over(by_anchor)).withColumn("high", F.max(F.struct("copy", "windows")).over(by_anchor))
         .withColumn("again", F.max("twice").over(by_anchor))
-        .withColumn("total", F.sum(F.col("windows") + (length - 1)).over(by_anchor))
-        .where("low <> high OR again")
+        .withColumn("hot", F.sum(F.when(F.col("lead"), size)).over(by_anchor) >= SUFFIX_BLOCK // 2)
+        .where("copies > 1 OR low <> high OR again")
+        .select("anchor", "content", "start", "windows", "ord", "copies", "lead", "hot", F.expr("low <> high OR again").alias("open")),
+        "shared",
     )
-    runs = shared.groupBy("content").agg(
-        F.collect_set(
-            F.struct("start", (F.col("windows") + (length - 1)).alias("bytes"), "anchor", (F.col("total") >= SUFFIX_BLOCK // 2).alias("hot"))
-        ).alias("runs")
+    copied = shared.where("NOT lead" if keep == "first" else "copies > 1").select("content", "start", "windows")
+    runs = shared.where("lead AND open").groupBy("content").agg(
+        F.collect_list(F.struct("start", size.alias("bytes"), "anchor", "hot")).alias("runs")
     )
-    contents = docs.groupBy(content).agg(F.any_value("text").alias("text"), F.min("doc_id").cast("long").alias("ord"))
     pieces = stored(
         contents.join(runs, "content").select("content", "ord", "text", "runs").mapInArrow(
             _cut_out, "anchor long, content long, start long, bytes binary, ord long, hot boolean"
@@ -324,8 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none") -> Da
     # An anchor with more bytes than a block: its windows meet by their 128-bit hashes instead.
     same = Window.partitionBy("h1", "h2")
     hashed = (
-        pieces.where("hot").select("anchor", "content", "start", "bytes", "ord")
-        .select("anchor", "content", "start", "bytes")
+        pieces.where("hot").select("anchor", "content", "start", "bytes")
         .mapInArrow(_window_hashes(length), "h1 long, h2 long, content long, start long")
     )
     if keep == "first":
@@ -335,7 +348,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none") -> Da
         )
     else:
         hashed = hashed.withColumn("copies", F.count("*").over(same)).where("copies > 1")
-    found = matched.union(hashed.select("content", "start", F.lit(1).cast("long").alias("windows")))
+    found = copied.union(matched).union(hashed.select("content", "start", F.lit(1).cast("long").alias("windows")))
     rows = docs.select("doc_id", content, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     copies = rows.groupBy("content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     per_content = stored(
