@@ -17,7 +17,7 @@ GOOD, BAD, NONE = "g", "b", "-"
 #: Rule: measure, at most this is a vote for good (None: the rule knows its kind of junk only),
 #: at least this a vote for bad.  Otherwise it abstains.
 RULES: dict[str, tuple[str, float | None, float]] = {
-    "prose": ("try_divide(n_other, word_chars)", 0.07, 0.20),
+    "prose": ("try_divide(n_other, word_chars)", 0.10, 0.20),
     "repetition": ("try_divide(n_repeat_words, n_words)", None, 0.30),
     "symbols": ("try_divide(n_symbols, n_words)", None, 0.10),
     "lines": ("try_divide(n_dup_lines, n_lines)", None, 0.40),
@@ -112,7 +112,7 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 60) -> dict[str, float]:
     for _ in range(rounds):
         for pattern, _n in patterns:
             odds = math.log(prior / (1 - prior)) + sum(
-                math.log(tables[r][True][pattern[r]] / tables[r][False][pattern[r]]) for r in rules if pattern[r] != NONE
+                math.log(tables[r][True][pattern[r]] / tables[r][False][pattern[r]]) for r in rules
             )
             posterior[pattern] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
         weight = sum(posterior[p] * n for p, n in patterns)
