@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecensus.llm import mixing, ngram_join, quality, suffix_dedup
-from filecensus.llm.shared import documents
+from filecensus.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    ngram_join,
+    quality,
+    secrets_scan,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
+from filecensus.llm.shared import crc_remainder, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +101,54 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by a mix of sources weighing 1, 2, 3 with at most three repetitions."""
     found = mixing.mix(documents(spark, sf_dir))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: those of fixed patterns, and strings that look random."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets_scan.scan(docs, secrets_scan.train(secrets_scan.corpus_samples(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, secrets_scan.KINDS), F.sha2(secrets_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model of the labelled rows outside the held-out fifth."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score(docs, toxicity.fitted(docs, labels))
+    return found.select(
+        "doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wording in every text, by fixed phrases and by templates."""
+    found = licenses.scan(documents(spark, sf_dir))
+    base = F.filter("found", lambda m: m["base"])
+    label = lambda column: F.array_join(F.sort_array(F.array_distinct(F.transform(column, lambda m: m["label"]))), ",")
+    longest = F.array_max(F.transform("found", lambda m: m["end"] - m["start"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["start"])).alias("last_word"),
+        label(base).alias("base_labels"), label(F.col("found")).alias("labels"),
+        # the longer the exact wording, the surer
+        F.coalesce(1 - 1 / (1 + longest), F.lit(0.0)).alias("score"),
+    )
+
+
+@query()
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, a few replaced words allowed."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece tokens of every text."""
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.PieceCounter(token_counts.load_vocabulary()))
