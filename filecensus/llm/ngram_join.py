@@ -29,6 +29,8 @@ FREQUENT_BOUND = 1 << 20
 LEAST_FREQUENT = 32
 TOKEN_BITS = np.uint64((1 << 63) - 1)
 HOT_BIT = np.uint64(1 << 63)
+#: Turns of further pivots; they only save single comparisons, which come after them anyway.
+TURNS = 4
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -204,7 +206,10 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         return stored(found.groupBy("set_id").agg(F.any_value("tokens").alias("tokens")), "sets")
 
     def ends(pairs: DataFrame, *columns: str) -> DataFrame:
-        return pairs.select(F.explode(F.array(*columns)).alias("set_id")).distinct()
+        found = pairs.select(F.col(columns[0]).alias("set_id")).distinct()
+        for c in columns[1:]:
+            found = found.union(pairs.select(c).distinct())
+        return found.distinct()
 
     small, large = F.least("n", "pivot_n"), F.greatest("n", "pivot_n")
     proposed = (
@@ -213,46 +218,65 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     star_pairs = stored(still_possible(proposed, company, percent), "star-pairs")
-    stars = stored(overlaps(star_pairs, whole_sets(ends(star_pairs, "x", "y"))), "stars")
-    star_edges = stars.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    known = stored(components(star_edges), "known")
+    sets = whole_sets(ends(star_pairs, "x", "y"))
+
+    def with_sets(pairs: DataFrame, *columns: str) -> DataFrame:
+        """All sets read so far and those that the pairs ask for besides."""
+        return sets.union(whole_sets(ends(pairs, *columns).join(sets, "set_id", "left_anti")))
+
+    is_link = linked(F.col("o"), F.col("nx"), F.col("ny"), percent)
+    stars = stored(overlaps(star_pairs, sets), "stars").where(is_link)
+    known = stored(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "known")
 
     # Each set's best pivot, and how many of its shingles that pivot lacks; its own without one.
     best = (
-        stars.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent))
-        .groupBy("x").agg(F.max_by(F.struct("y", (F.col("nx") - F.col("o")).alias("extra")), F.struct("o", "y")).alias("best"))
+        stars.groupBy("x").agg(F.max_by(F.struct("y", (F.col("nx") - F.col("o")).alias("extra")), F.struct("o", "y")).alias("best"))
         .select(F.col("x").alias("set_id"), F.col("best.y").alias("center"), F.col("best.extra").alias("extra"))
     )
-    placed = (
-        lists.select("token", "set_id", "n", "pos")
-        .join(known.withColumnRenamed("vertex", "set_id"), "set_id", "left")
-        .join(best, "set_id", "left")
-        .select(
-            "token", "set_id", "n", "pos",
-            F.coalesce("component", "set_id").alias("component"),
-            F.coalesce("center", "set_id").alias("center"),
-            F.coalesce("extra", F.lit(0)).alias("extra"),
-        )
-    )
-    # Lists of one component are skipped; the rest is cut into blocks of sizes within 1.25.
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    placed = stored(
-        placed.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token))
-        .where("low <> high").drop("low", "high").withColumn("block", block),
-        "placed",
+    centered = stored(
+        lists.select("token", "set_id", "n", "pos").join(best, "set_id", "left")
+        .withColumn("center", F.coalesce("center", "set_id")).withColumn("extra", F.coalesce("extra", F.lit(0)))
+        .withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)),
+        "centered",
     )
 
+    def mixed_lists() -> DataFrame:
+        """Lists that hold more than one component; the others are skipped."""
+        placed = centered.join(known.withColumnRenamed("vertex", "set_id"), "set_id", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "set_id"))
+        ends_of = placed.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token))
+        return ends_of.where("low <> high").drop("low", "high")
+
+    def entered(n1: str, pos1: str, n2: str, pos2: str) -> Column:
+        """Sizes and places in the two sets still allow a link."""
+        sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+        return sizes & (F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= needed(F.col(n1), F.col(n2), percent))
+
+    # Components join by further pivots, one per list and size block, before single pairs are met.
+    for turn in range(TURNS):
+        by_block = Window.partitionBy("token", "near")
+        pivot = F.min(F.struct(F.xxhash64("token", "set_id", F.lit(turn)).alias("h"), "set_id", "n", "pos", "component")).over(by_block)
+        offered = (
+            mixed_lists().withColumn("near", F.explode(F.array("block", F.col("block") - 1))).withColumn("p", pivot)
+            .select("set_id", "n", "pos", "component", F.col("p.set_id").alias("y"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py"), F.col("p.component").alias("cy"))
+            .where((F.col("component") != F.col("cy")) & entered("n", "pos", "ny", "py"))
+            .select(F.col("set_id").alias("x"), "y", F.col("n").alias("nx"), "ny").distinct()
+        )
+        pairs = stored(still_possible(offered, company, percent), "pairs")
+        sets = with_sets(pairs, "x", "y")
+        links = overlaps(pairs, sets).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        known = stored(components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links)), "known")
+
+    placed = stored(mixed_lists(), "placed")
+
     def side(name: str, frame: DataFrame) -> DataFrame:
         return frame.select("token", "block", *(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "n", "pos", "component", "center", "extra")))
 
     lower = side("x", placed)
     upper = side("y", placed.withColumn("block", F.explode(F.array("block", F.col("block") - 1))))
-    need = needed(F.col("n_x"), F.col("n_y"), percent)
-    entered = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
     entries = (
         lower.join(upper, ["token", "block"])
-        .where((F.col("component_x") != F.col("component_y")) & (entered >= need))
-        .where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+        .where((F.col("component_x") != F.col("component_y")) & entered("n_x", "pos_x", "n_y", "pos_y"))
         .where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
         .select(
             F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), F.col("n_x").alias("nx"), F.col("n_y").alias("ny"),
@@ -261,7 +285,7 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     crossing = stored(still_possible(entries, company, percent), "crossing")
-    sets = whole_sets(ends(crossing, "x", "y", "cx", "cy"))
+    sets = with_sets(crossing, "x", "y", "cx", "cy")
     # An overlap of members is at most that of their pivots plus what each pivot lacks.
     centers = stored(overlaps(crossing.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), sets), "centers")
     open_pairs = (
@@ -269,7 +293,7 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .where(F.col("between") + F.col("ex") + F.col("ey") >= needed(F.col("nx"), F.col("ny"), percent))
         .select("x", "y", "nx", "ny")
     )
-    links = overlaps(open_pairs, sets).where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent))
+    links = overlaps(open_pairs, sets).where(is_link)
     joined = components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links.select("x", "y")))
     labelled = members.join(joined.withColumnRenamed("vertex", "set_id"), "set_id", "left").withColumn(
         "component", F.when(F.col("n") > 0, F.coalesce("component", "set_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filecensus.llm import (
     decontaminate,
+    language_model,
     licenses,
     mixing,
     ngram_join,
@@ -152,3 +153,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece tokens of every text."""
     return token_counts.count_tokens(documents(spark, sf_dir), token_counts.PieceCounter(token_counts.load_vocabulary()))
+
+
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text under the attention model, beside the add-one word model."""
+    return language_model.score(documents(spark, sf_dir))
