@@ -10,20 +10,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filecensus.llm import ngram_join
+from filecensus.llm import decontaminate, mixing, ngram_join, quality, secrets_scan
 from filecensus.llm.shared import documents, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed votes of the rules reject go."""
+    return quality.keep_good(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
     return ngram_join.one_per_component(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_copies", near_copies)]
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    return secrets_scan.without_secrets(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds size, source_size, target and taken: the words the mix takes of each document."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("secrets", secrets),
+    ("source_mix", source_mix),
+]
 
-#: SQL has no counterpart of the stages; tests hold them against brute force.
+#: SQL has no counterpart of the learned and iterative stages; tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
