@@ -311,10 +311,9 @@ def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     The row with the least doc_id stays, of rows that repeat an id one; rows without words and
     rows with a null id stay as they are.  Columns are kept.
     """
-    found = set_components(docs.where(F.col("doc_id").isNotNull()), width, percent)
-    dropped = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
-    again = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = kept.join(again.withColumnRenamed("doc_id", "again"), F.col("doc_id") == F.col("again"), "left_anti")
+    found = stored(set_components(docs.where(F.col("doc_id").isNotNull()), width, percent).where("n_shingles > 0"), "found")
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id").join(dropped, "doc_id", "left_anti")
+    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = docs.join(dropped.union(again).withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
     return rest.unionByName(once)

@@ -325,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none") -> Da
     )
     copied = shared.where("NOT lead" if keep == "first" else "copies > 1").select("content", "start", "windows")
     runs = shared.where("lead AND open").groupBy("content").agg(
-        F.collect_list(F.struct("start", size.alias("bytes"), "anchor", "hot")).alias("runs")
+        F.collect_set(F.struct("start", size.alias("bytes"), "anchor", "hot")).alias("runs")  # tasks may share a content
     )
     pieces = stored(
         contents.join(runs, "content").select("content", "ord", "text", "runs").mapInArrow(
