@@ -21,8 +21,8 @@ BUCKETS, DIMENSIONS = 1 << 16, 8
 GRAMS, BEGINNINGS = (3, 4, 5), (3, 4, 5, 6)
 WIDTH, STRIDE = 32, 16
 #: Bounds of the training sample: documents per label, chunks per document.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 1200, 48
-EPOCHS, WARM, RATE = 60, 12, 0.05
+SAMPLE_DOCS, SAMPLE_CHUNKS = {0: 4000, 1: 1500}, 128
+ROUNDS, DOC_BATCH, RATE, DECAY = 6, 64, 0.02, 1e-3
 
 
 def word_grams(block: kernel.Block) -> tuple[kernel.Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -65,16 +65,15 @@ def chunk_bounds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def sample_chunks(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
     """(doc, label, words) chunks of a bounded sample of the labelled rows outside the held-out part.
 
-    About SAMPLE_DOCS documents per label, of each at most SAMPLE_CHUNKS evenly spaced chunks.
+    About SAMPLE_DOCS documents of each label, of each at most SAMPLE_CHUNKS evenly spaced chunks.
     """
     usable = labels.select("doc_id", F.col("toxic").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), modulus) != 0)
     ).groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    share = F.when(F.col("label") == 1, min(1 << 30, (SAMPLE_DOCS << 30) // max(1, totals.get(1, 0)))).otherwise(
-        min(1 << 30, (SAMPLE_DOCS << 30) // max(1, totals.get(0, 0)))
-    )
+    bound = {k: min(1 << 30, (n << 30) // max(1, totals.get(k, 0))) for k, n in SAMPLE_DOCS.items()}
+    share = F.when(F.col("label") == 1, bound[1]).otherwise(bound[0])
     chosen = usable.where(place < share)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,80 +97,136 @@ def sample_chunks(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataF
     return joined.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(cut, "doc long, label int, words binary")
 
 
+class _Bags:
+    """Sampled documents as chunks of distinct words, and those words as buckets, in document order."""
+
+    def __init__(self, docs: np.ndarray, labels: np.ndarray, texts: pa.Array):
+        order = np.argsort(docs, kind="stable")
+        docs, texts = docs[order], texts.take(pa.array(order))
+        seen: dict[int, int] = {}
+        parts: list[np.ndarray] = []
+        words, sizes = [], []
+        for block in kernel.blocks(texts):
+            found, grams = word_grams(block)
+            distinct, at, which = np.unique(kernel.word_hashes(block, found), return_index=True, return_inverse=True)
+            ids = np.array([seen.setdefault(k, len(seen)) for k in distinct.tolist()], dtype=np.int64)
+            fresh = np.zeros(len(found.starts), dtype=bool)
+            fresh[at[ids >= len(parts)]] = True
+            rows = np.concatenate([word[fresh[word]] for word, _ in grams])
+            flat = np.concatenate([bucket[fresh[word]] for word, bucket in grams])
+            by_word = np.argsort(rows, kind="stable")
+            rows, flat = rows[by_word], flat[by_word]
+            for i in at[ids >= len(parts)][np.argsort(ids[ids >= len(parts)])]:
+                parts.append(flat[np.searchsorted(rows, i) : np.searchsorted(rows, i, side="right")])
+            words.append(ids[which])
+            sizes.append(np.diff(found.bounds))
+        self.word = np.concatenate(words)
+        self.chunk_bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        self.gram = np.concatenate(parts)
+        self.gram_bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        first = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+        self.doc_bounds = np.concatenate((first, [len(docs)]))
+        self.labels = labels[order][first]
+
+
+def _pick(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places between the bounds of the given rows, and the row (by number) of each."""
+    sizes = (bounds[1:] - bounds[:-1])[rows]
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + bounds[rows][owner], owner
+
+
 def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7) -> tuple[np.ndarray, float]:
     """Learned logit of every bucket and of an empty text, from chunks (document, label, text).
 
-    Embeddings and softmax are trained together with Adam.  After ``WARM`` rounds a toxic
-    document teaches by its most toxic chunk, as the others may well be clean.
+    Embeddings and softmax are trained together with Adam on batches of documents.  In the first round every
+    chunk of a document carries its label; then a document teaches by its most toxic chunk, as the
+    others of a toxic one may well be clean.  A seventh of the documents is set aside to place the cut.
     """
     if not len(texts) or labels.min() == labels.max():
         return np.zeros(BUCKETS, np.float32), -2.0
-    order = np.argsort(docs, kind="stable")
-    docs, labels, texts = docs[order], labels[order], texts.take(pa.array(order))
-    # Every distinct word once, with its buckets; every chunk as the words it holds.
-    seen: dict[int, int] = {}
-    parts: list[np.ndarray] = []
-    words, chunk = [], []
-    for block in kernel.blocks(texts):
-        found, grams = word_grams(block)
-        keys = kernel.word_hashes(block, found)
-        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        ids = np.array([seen.setdefault(k, len(seen)) for k in distinct.tolist()], dtype=np.int64)
-        new = ids >= len(parts)
-        rows = np.concatenate([g[0] for g in grams])
-        flat = np.concatenate([g[1] for g in grams])
-        by_word = np.argsort(rows, kind="stable")
-        limits = np.searchsorted(rows[by_word], np.arange(len(keys) + 1))
-        flat = flat[by_word]
-        for i in at[new][np.argsort(ids[new])]:
-            parts.append(flat[limits[i] : limits[i + 1]])
-        words.append(ids[inverse])
-        chunk.append(np.repeat(np.arange(block.rows) + block.first, np.diff(found.bounds)))
-    word, chunk = np.concatenate(words), np.concatenate(chunk)
-    per_word = np.array([len(p) for p in parts])
-    gram = np.concatenate(parts)
-    first = np.cumsum(per_word) - per_word
-    owner = np.repeat(np.arange(len(parts)), per_word)
-    per_chunk = np.maximum(1, np.bincount(chunk, minlength=len(docs)))
-    doc_of = np.unique(docs, return_inverse=True)[1]
-    doc_first = np.flatnonzero(np.concatenate(([True], doc_of[1:] != doc_of[:-1])))
-    doc_label = labels[doc_first]
-    class_weight = np.where(doc_label == 1, 0.5 / (doc_label == 1).sum(), 0.5 / (doc_label == 0).sum())
-    doc_chunks = np.bincount(doc_of)
-
+    bags = _Bags(docs, labels, texts)
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(bags.labels))
+    aside, teaching = (order[: len(order) // 7], order[len(order) // 7 :]) if len(order) >= 70 else (order, order)
     table = rng.normal(0, 0.1, (DIMENSIONS, BUCKETS)).astype(np.float32)
     top = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, top, bias)]
-    for step in range(1, EPOCHS + 1):
-        vectors = np.stack([np.add.reduceat(table[d][gram], first) / per_word for d in range(DIMENSIONS)], axis=1)
-        means = np.stack([np.bincount(chunk, vectors[word, d], len(docs)) for d in range(DIMENSIONS)], axis=1) / per_chunk[:, None]
+    positive = max(1e-9, (bags.labels[teaching] == 1).mean())
+
+    def forward(at: np.ndarray):
+        chunks, doc = _pick(bags.doc_bounds, at)
+        places, chunk = _pick(bags.chunk_bounds, chunks)
+        distinct, word = np.unique(bags.word[places], return_inverse=True)
+        where, owner = _pick(bags.gram_bounds, distinct)
+        gram = bags.gram[where]
+        per_word, per_chunk = np.bincount(owner, minlength=len(distinct)), np.maximum(1, np.bincount(chunk, minlength=len(chunks)))
+        vectors = [np.bincount(owner, table[d][gram], len(distinct)) / per_word for d in range(DIMENSIONS)]
+        means = np.stack([np.bincount(chunk, v[word], len(chunks)) for v in vectors], axis=1) / per_chunk[:, None]
         logits = means @ top + bias
-        odds = logits[:, 1] - logits[:, 0]
-        toxic = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        # A clean document's chunks are all clean; a toxic one's are all used at first, then its worst one.
-        weight = class_weight[doc_of] / doc_chunks[doc_of]
-        if step > WARM:
-            worst = np.maximum.reduceat(odds, doc_first)[doc_of]
-            weight = np.where(labels == 1, np.where(odds >= worst, class_weight[doc_of], 0.0), weight * np.where(odds > -1, 4.0, 1.0))
-        error = (weight * (toxic - labels))[:, None] * np.array([-1.0, 1.0])
-        d_means = (error @ top.T) / per_chunk[:, None]
-        grads = [np.empty_like(table), means.T @ error, error.sum(0)]
-        for d in range(DIMENSIONS):
-            d_words = np.bincount(word, d_means[chunk, d], len(parts)) / per_word
-            grads[0][d] = np.bincount(gram, d_words[owner], BUCKETS)
-        for value, grad, (m, v) in zip((table, top, bias), grads, state, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        return logits[:, 1] - logits[:, 0], doc, means, (chunk, word, owner, gram, per_word, per_chunk)
+
+    step, steps = 0, ROUNDS * -(-len(teaching) // DOC_BATCH)
+    for turn in range(ROUNDS):
+        mixed = rng.permutation(teaching)
+        for low in range(0, len(mixed), DOC_BATCH):
+            at = mixed[low : low + DOC_BATCH]
+            step += 1
+            odds, doc, means, (chunk, word, owner, gram, per_word, per_chunk) = forward(at)
+            label = bags.labels[at][doc]
+            weight = np.where(label == 1, 0.5 / positive, 0.5 / (1 - positive)) / len(at)
+            if turn == 0:
+                weight = weight / np.bincount(doc)[doc]
+            else:
+                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                weight = np.where(odds >= np.maximum.reduceat(odds, first)[doc], weight, 0.0)
+            error = (weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - label))[:, None] * np.array([-1.0, 1.0])
+            d_means = (error @ top.T) / per_chunk[:, None]
+            grads = [np.empty_like(table), means.T @ error, error.sum(0)]
+            for d in range(DIMENSIONS):
+                d_words = np.bincount(word, d_means[chunk, d], len(per_word)) / per_word
+                grads[0][d] = np.bincount(gram, d_words[owner], BUCKETS)
+            rate = RATE * (1 - 0.9 * step / steps)
+            for value, grad, (m, v) in zip((table, top, bias), grads, state, strict=True):
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7) + rate * DECAY * value
+    # The cut between the labels on the documents aside: the middle of the best places for it.
+    best = []
+    for low in range(0, len(aside), DOC_BATCH):
+        odds, doc, _, _ = forward(aside[low : low + DOC_BATCH])
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        best.append(np.maximum.reduceat(odds, first))
+    odds, label = np.concatenate(best), bags.labels[aside]
+    cuts = np.unique(np.concatenate((odds - 1e-6, odds + 1e-6)))
+    loss = [2 * np.sum((odds >= c) & (label == 0)) / max(1, np.sum(label == 0)) + np.sum((odds < c) & (label == 1)) / max(1, np.sum(label == 1)) for c in cuts]
+    good = cuts[np.array(loss) <= min(loss) + 1e-9]
     side = top[:, 1] - top[:, 0]
-    return (side @ table).astype(np.float32), float(bias[1] - bias[0])
+    return (side @ table).astype(np.float32), float(bias[1] - bias[0] - np.clip((good[0] + good[-1]) / 2, -6, 6))
 
 
 # --- scoring -----------------------------------------------------------------------------
 
 
+def odds_of(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    """Logit of the most toxic chunk of every text."""
+    out = np.full(len(texts), bias)
+    for block in kernel.blocks(texts):
+        found, grams = word_grams(block)
+        total, count = np.zeros(len(found.starts)), np.zeros(len(found.starts))
+        for word, bucket in grams:
+            total += np.bincount(word, table[bucket], len(total))
+            count += np.bincount(word, minlength=len(total))
+        sums = np.concatenate(([0.0], np.cumsum(total / np.maximum(count, 1))))
+        row, low, high = chunk_bounds(found.bounds)
+        if len(row):
+            odds = (sums[high] - sums[low]) / (high - low) + bias
+            begins = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[block.first + row[begins]] = np.maximum.reduceat(odds, begins)
+    return out
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text); the model (256 KB) is broadcast.
 
@@ -182,19 +237,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
         for batch in batches:
-            out = np.full(batch.num_rows, bias)
-            for block in kernel.blocks(batch.column(1)):
-                found, grams = word_grams(block)
-                total, count = np.zeros(len(found.starts)), np.zeros(len(found.starts))
-                for word, bucket in grams:
-                    total += np.bincount(word, table[bucket], len(total))
-                    count += np.bincount(word, minlength=len(total))
-                sums = np.concatenate(([0.0], np.cumsum(total / np.maximum(count, 1))))
-                row, low, high = chunk_bounds(found.bounds)
-                if len(row):
-                    odds = (sums[high] - sums[low]) / (high - low) + bias
-                    begins = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                    out[block.first + row[begins]] = np.maximum.reduceat(odds, begins)
+            out = odds_of(batch.column(1), table, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
