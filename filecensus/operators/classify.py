@@ -144,14 +144,18 @@ def classify(
     if listing is None:
         ruled = ruled.withColumn("_model_folder", F.lit(False))
     else:
-        due = (F.col("_branch") == "bin") & (F.col("size_bytes") > R.LARGE_BINARY_BYTES)
-        ruled = ruled.withColumn("_parent", F.when(due, paths.dirname(F.col("path"))))
-        ruled = lookup_join(
-            ruled, model_folders(listing), ["machine_id", "_parent"], "left", ["machine_id", "path"]
-        ).withColumn("_model_folder", F.coalesce("_model_folder", F.lit(False)))
+        # Only large binaries meet the listing; no other row, and so hardly any text, is shuffled.
+        due = F.coalesce((F.col("_branch") == "bin") & (F.col("size_bytes") > R.LARGE_BINARY_BYTES), F.lit(False))
+        asking = ruled.filter(due).withColumn("_parent", paths.dirname(F.col("path")))
+        asking = lookup_join(asking, model_folders(listing), ["machine_id", "_parent"], "left")
+        ruled = (
+            ruled.filter(~due)
+            .withColumn("_model_folder", F.lit(False))
+            .unionByName(asking.withColumn("_model_folder", F.coalesce("_model_folder", F.lit(False))).drop("_parent"))
+        )
     decided = ruled.withColumn("rule", _content_rule(rules.window))
     return _describe(decided, keep_unclassified).drop(
-        "_ext", "_name_rule", "_branch", "_model_folder", "_parent", *R.EXTENSION_RULES.fieldNames()
+        "_ext", "_name_rule", "_branch", "_model_folder", *R.EXTENSION_RULES.fieldNames()
     )
 
 

@@ -24,7 +24,6 @@ ALERTS = {
     "permissions": ("warning", "%d file(s) with overly permissive access on %s"),
     "embedded_secrets": ("critical", "%d file(s) with embedded secrets on %s"),
 }
-PERMISSION_DETAILS = 20
 
 
 def _latest() -> Column:
@@ -157,24 +156,11 @@ def alerts(reports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def alert_files(files: DataFrame) -> DataFrame:
-    """The files behind the alerts, one row each; the permission alert lists its first 20."""
-    tests = _alert_tests()
-    listed = [k for k in tests if k != "permissions"]
-    hits = F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in listed]))
-    whole = files.select(
-        "report_id", F.explode(hits).alias("alert_type"), "path", F.lit(None).cast("string").alias("perms")
-    )
-    first = W.partitionBy("report_id").orderBy("path")
-    open_files = (
-        files.filter(tests["permissions"])
-        .select("report_id", "path", "permissions")
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= PERMISSION_DETAILS)
-    )
-    cut = open_files.select(
-        "report_id", F.lit("permissions").alias("alert_type"), "path", F.col("permissions").alias("perms")
-    )
-    return whole.unionByName(cut)
+    """All files behind the alerts, one row each; the permission alert shows their permissions."""
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in _alert_tests().items()]))
+    found = files.select("report_id", F.explode(hits).alias("alert_type"), "path", "permissions")
+    perms = F.when(F.col("alert_type") == "permissions", F.col("permissions"))
+    return found.select("report_id", "alert_type", "path", perms.alias("perms"))
 
 
 def unacknowledged(found: DataFrame) -> DataFrame:
@@ -201,12 +187,12 @@ def recent_changes(changes: DataFrame, nodes: DataFrame, limit: int = 100) -> Da
 
 def alerts_with_host(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """All alerts with host names."""
-    return lookup_join(found, nodes.select("machine_id", "hostname"), ["machine_id"], "inner", ["report_id", "alert_type"])
+    return lookup_join(found, nodes.select("machine_id", "hostname"), ["machine_id"], "inner")
 
 
 def changes_with_host(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """All changes with host names."""
-    return lookup_join(changes, nodes.select("machine_id", "hostname"), ["machine_id"], "inner", ["report_id", "file_path"])
+    return lookup_join(changes, nodes.select("machine_id", "hostname"), ["machine_id"], "inner")
 
 
 CHANGE_LISTS = {"new_files": "new", "changed_files": "modified", "deleted_files": "deleted"}
@@ -244,7 +230,7 @@ def computed_changes(changes: DataFrame, reports: DataFrame) -> DataFrame:
         )
     )
     one_each = reports.select("report_id", "machine_id", F.col("received_at").alias("detected_at"))
-    return lookup_join(changes, one_each, ["report_id"], "inner", ["path"]).select(
+    return lookup_join(changes, one_each, ["report_id"], "inner").select(
         "report_id",
         "machine_id",
         "detected_at",

@@ -41,8 +41,8 @@ def folder_hashes(
     if large.isEmpty():
         return _gathered(lines, keys)
     large = large.drop("_n")
-    small = _gathered(lookup_join(lines, large, keys, "left_anti", ["line"]), keys)
-    return small.unionByName(_chained(lookup_join(lines, large, keys, "left_semi", ["line"]), keys, max_lines))
+    small = _gathered(lookup_join(lines, large, keys, "left_anti"), keys)
+    return small.unionByName(_chained(lookup_join(lines, large, keys, "left_semi"), keys, max_lines))
 
 
 def _gathered(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,34 +1,17 @@
-"""Joins against a side that is usually small."""
+"""Joins against a side with unique keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` to ``small`` whose keys are unique.
 
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    spread: list[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``big`` to ``small`` whose keys are unique, safe for hot or NULL keys.
-
-    ``small`` is counted up to the bound first and broadcast only below it.  Above it, its
-    rows are repeated once per salt and ``big`` is spread over the salts by ``spread``, so
-    that a key holding a third of ``big`` lands in many tasks.  ``how`` may be inner, left,
-    left_semi or left_anti.
+    Nothing runs while the plan is built: adaptive execution broadcasts the smaller side if its
+    measured size allows and otherwise splits the partitions of hot keys.  ``how`` may be inner, left,
+    left_semi or left_anti, which leave every row of ``big`` at most once.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    source = [F.col(c) for c in (spread or big.columns)]
-    spread_out = big.withColumn("_salt", F.pmod(F.xxhash64(*source), F.lit(SALTS)).cast("int"))
-    return spread_out.join(salted, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,20 @@ def sort_by_column(files: DataFrame, column: str, ascending: bool = True, tie: l
     return files.orderBy(key.asc() if ascending else key.desc(), *[F.asc(c) for c in tie])
 
 
+def partitioned(rows: DataFrame) -> DataFrame:
+    """Sorted rows with the number of their partition and their place in it, to be written once."""
+    spot = F.monotonically_increasing_id()
+    return rows.withColumns({"_part": F.shiftright(spot, 33), "_place": spot.bitwiseAND((1 << 33) - 1)})
+
+
+def positions(written: DataFrame) -> DataFrame:
+    """Number written, partitioned rows from 1 in their order; no task holds all of them."""
+    parts = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = written.join(F.broadcast(before), "_part")
+    return numbered.withColumn("position", F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
 def top_extensions(files: DataFrame, n: int = 8) -> DataFrame:
     ranked = rollups.by_extension(files).orderBy(F.desc("total_size"), F.asc("extension"))
     return rollups.with_bars(ranked.limit(n))

@@ -74,9 +74,10 @@ def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report
 
     The sequence is cut by day: the predecessor is looked for within the day, and a day's
     first report takes the last one of the day before it.  So no window holds the whole
-    history of a machine that sends very many reports.
+    history of a machine that sends very many reports.  Reports of the unknown machine may be of
+    any host: each is a sequence of its own.
     """
-    path = F.coalesce("scan_path", F.lit(""))
+    path = F.when(F.col("machine_id") == "unknown", F.col("report_id")).otherwise(F.coalesce("scan_path", F.lit("")))
     dated = reports.withColumns({"_day": F.to_date("received_at"), "_path": path})
     sequence = ["machine_id", "_path"]
     info = F.struct("report_id", "scan_time").alias("_info")
@@ -105,10 +106,10 @@ def consecutive_changes(files: DataFrame, sequenced: DataFrame) -> DataFrame:
     later report's id, so all pairs are compared in one full outer join.
     """
     later = sequenced.filter("previous_report_id IS NOT NULL")
-    current = lookup_join(files, later.select("report_id"), ["report_id"], "inner", ["path"])
+    current = lookup_join(files, later.select("report_id"), ["report_id"], "inner")
     renamed = files.withColumnRenamed("report_id", "previous_report_id")
     previous = lookup_join(
-        renamed, later.select("previous_report_id", "report_id"), ["previous_report_id"], "inner", ["path"]
+        renamed, later.select("previous_report_id", "report_id"), ["previous_report_id"], "inner"
     )
     return diff(previous, current, ["report_id", "path"])
 

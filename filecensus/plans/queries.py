@@ -16,7 +16,6 @@ from filecensus.operators import secrets as S
 from filecensus.plans import demo, oracle
 from filecensus.session import work_dir
 from filecensus.sinks import reports as sink
-from filecensus.sources import filetree
 from filecensus.sources import reports as source
 from filecensus.streaming import ingest
 
@@ -440,11 +439,12 @@ def sort_topn_date(spark, sf_dir):
 
 
 @query(
-    INV + "SELECT machine_id, path, risk_level FROM inv ORDER BY lower(risk_level) DESC, path, machine_id LIMIT 30"
+    INV + "SELECT machine_id, path, risk_level, ROW_NUMBER() OVER (ORDER BY lower(risk_level) DESC, path, machine_id) AS position FROM inv"
 )
 def sort_by_column(spark, sf_dir):
-    rows = ordering.sort_by_column(demo.inventory(spark, sf_dir), "risk_level", False, ["path", "machine_id"])
-    return rows.limit(30).select(*FILE_KEYS, "risk_level")
+    rows = demo.inventory(spark, sf_dir).select(*FILE_KEYS, "risk_level")
+    sorted_rows = ordering.sort_by_column(rows, "risk_level", False, ["path", "machine_id"])
+    return ordering.positions(stored(ordering.partitioned(sorted_rows), "sorted"))
 
 
 @query(
@@ -637,8 +637,7 @@ def alerts(spark, sf_dir):
 
 
 @query(
-    SCANS + "SELECT report_id, alert_type, path, CASE WHEN alert_type = 'permissions' THEN permissions END AS perms FROM kinds "
-    "QUALIFY alert_type <> 'permissions' OR ROW_NUMBER() OVER (PARTITION BY report_id, alert_type ORDER BY path) <= 20"
+    SCANS + "SELECT report_id, alert_type, path, CASE WHEN alert_type = 'permissions' THEN permissions END AS perms FROM kinds"
 )
 def alert_files(spark, sf_dir):
     return fleet.alert_files(stored_scans(spark, sf_dir))
@@ -657,9 +656,7 @@ def recent_alerts(spark, sf_dir):
     reports, files = _fleet(spark, sf_dir)
     reports = stored(reports, "reports")
     rows = fleet.recent_alerts(fleet.alerts(reports, files), fleet.node_registry(reports), 50)
-    return _alert_view(rows.withColumn("acknowledged", F.lit(0))).drop("machine_id", "n_files", "acknowledged").join(
-        F.broadcast(rows.select("report_id", "alert_type", "hostname")), ["report_id", "alert_type"]
-    )
+    return rows.select("report_id", "hostname", time_text("created_at"), "alert_type", "severity", "message")
 
 
 _CHANGE_ROWS = (
@@ -782,11 +779,3 @@ def json_report(spark, sf_dir):
         "path", "extension", "category", F.array_join("categories", "|").alias("categories"), "size_bytes",
         "size_human", "risk_level", "risk_reason", "owner", "permissions", "permission_alert", "modified_timestamp",
     )
-
-
-@query()
-def dir_scan(spark, sf_dir):
-    """Scan the folder of the tables itself: list, stat, classify and hash its files."""
-    options = filters.ScanOptions(compute_hashes=True, compute_permissions=True)
-    found, _ = filetree.scan(spark, sf_dir, options)
-    return found.select("filename", "extension", "category", "size_bytes", "detection_method", "hash", "permissions")

@@ -20,7 +20,6 @@ ALERT_COLUMNS = ["permission_alert", "permission_alert_reason"]
 CHANGE_LISTS = {"added": "new_files", "modified": "changed_files", "deleted": "deleted_files"}
 PART_COLUMNS = ["report_id", "received_at", "part_no", "n_parts"]
 FILES_PER_PART = 1000
-SINGLE_DOCUMENT_FILES = 100_000
 
 
 def entry_type(is_directory: Column) -> Column:
@@ -88,61 +87,24 @@ def scan_metadata(files: DataFrame, keys: list[str]) -> DataFrame:
     return rollups.summary(files, keys).withColumn("total_size_human", sizes.format_size(F.col("total_size")))
 
 
-def write_json_report(files: DataFrame, keys: list[str], path: str) -> None:
-    """Report of any size: ``files`` as JSON lines, ``metadata`` and ``extensions`` beside it."""
-    json_files(files).write.json(f"{path}/files")
-    scan_metadata(files, keys).write.json(f"{path}/metadata")
-    rollups.with_size_text(rollups.by_extension(files, keys)).write.json(f"{path}/extensions")
-
-
-def json_document(files: DataFrame, system: dict, metadata: dict, max_files: int = SINGLE_DOCUMENT_FILES) -> DataFrame:
-    """The whole report as one JSON text, for scans small enough to be one value.
-
-    Larger scans are refused; :func:`write_json_report` and :func:`report_parts` take them.
-    """
-    if files.limit(max_files + 1).count() > max_files:
-        raise ValueError(f"more than {max_files} files: use write_json_report or report_parts")
-    entry = F.struct(F.col("n_files").alias("count"), F.col("total_size").alias("size"))
-
-    def totals_map(rollup: DataFrame, key: str) -> DataFrame:
-        pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), entry))))
-        return rollup.agg(with_size_texts(pairs).alias(f"by_{key}"))
-
-    listed = json_files(files).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("files"))
-    total = rollups.totals(files).select(F.struct("*").alias("t")).scalar()
-    whole = listed.select(
-        "files",
-        total.alias("t"),
-        totals_map(rollups.by_category(files), "category").scalar().alias("by_category"),
-        totals_map(rollups.by_extension(files), "extension").scalar().alias("by_extension"),
-    ).select("files", "t.*", "by_category", "by_extension")
-    meta = F.struct(
-        F.lit(metadata.get("scan_path")).alias("scan_path"),
-        F.lit(metadata.get("scan_time")).alias("scan_time"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("exported_at"),
-        "total_files",
-        F.col("total_size").alias("total_size_bytes"),
-        sizes.format_size(F.col("total_size")).alias("total_size_human"),
-        F.bround(F.lit(float(metadata.get("scan_duration", 0.0))), 2).alias("scan_duration_seconds"),
-        "by_category",
-        "by_extension",
-        F.array(*[F.lit(e) for e in metadata.get("errors", [])]).cast("array<string>").alias("errors"),
-    )
-    identity = F.struct(*[F.lit(v).alias(k) for k, v in system.items()])
-    document = F.struct(identity.alias("system"), meta.alias("scan_metadata"), "files")
-    return whole.select(F.to_json(document).alias("report"))
-
+def write_json_report(files: DataFrame, keys: list[str], path: str, system: dict | None = None, scan: dict | None = None) -> None:
+    """Report of any size: ``files`` as JSON lines, ``metadata`` and ``extensions`` beside it.
 
-def split_parts(rows: DataFrame, counts: DataFrame, key: str, per_part: int) -> DataFrame:
-    """Number rows into parts of about ``per_part`` by a hash of their path.
-
-    ``counts`` has ``key`` and ``n_rows``.  Adds part_no and n_parts.
+    ``system`` (host, versions, ...) and ``scan`` (scan_time, scan_duration, errors) are said of
+    every scan in ``metadata``.
     """
-    parts = counts.select(
-        key, F.greatest(F.ceil(F.col("n_rows") / per_part), F.lit(1)).cast("long").alias("n_parts")
-    )
-    numbered = lookup_join(rows, parts, [key], "inner", ["path"])
-    return numbered.withColumn("part_no", F.pmod(F.xxhash64("path"), F.col("n_parts")))
+    said = scan or {}
+    json_files(files).write.json(f"{path}/files")
+    scan_metadata(files, keys).withColumns(
+        {
+            "system": F.struct(*[F.lit(v).alias(k) for k, v in (system or {"hostname": None}).items()]),
+            "scan_time": F.lit(said.get("scan_time")).cast("string"),
+            "exported_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            "scan_duration_seconds": sizes.round_half_even(F.lit(float(said.get("scan_duration", 0.0))), 2),
+            "errors": F.array(*map(F.lit, said.get("errors", []))).cast("array<string>"),
+        }
+    ).write.json(f"{path}/metadata")
+    rollups.with_size_text(rollups.by_extension(files, keys)).write.json(f"{path}/extensions")
 
 
 def report_parts(
@@ -175,7 +137,7 @@ def report_parts(
     headers = _headers(reports).join(counts, "report_id", "left").withColumn(
         "n_parts", F.coalesce("n_parts", F.lit(1).cast("long"))
     )
-    numbered = lookup_join(entry, counts, ["report_id"], "inner", ["path"]).withColumn(
+    numbered = lookup_join(entry, counts, ["report_id"], "inner").withColumn(
         "part_no", F.pmod(F.xxhash64("path"), F.col("n_parts"))
     )
     lists = [F.array_sort(F.collect_list("entry"), _by_path).alias("files")]
@@ -241,7 +203,7 @@ def log_lines(entries: DataFrame, changes: DataFrame, per_line: int = FILES_PER_
         "n_parts", F.greatest(F.ceil(total / per_line), F.lit(1)).cast("long")
     )
     keys = headed.select(F.col("report_file").alias("report_id"), "n_parts")
-    numbered = lookup_join(changes, keys, ["report_id"], "inner", ["path"]).withColumn(
+    numbered = lookup_join(changes, keys, ["report_id"], "inner").withColumn(
         "part_no", F.pmod(F.xxhash64("path"), F.col("n_parts"))
     )
     listed = F.struct(*schema.LOG_FILE.fieldNames())

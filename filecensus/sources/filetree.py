@@ -106,8 +106,8 @@ def _descend(options: filters.ScanOptions, below_checkpoint: Column) -> Column:
 def list_tree(spark: SparkSession, root: str, options: filters.ScanOptions = filters.ScanOptions(), tasks: int | None = None) -> DataFrame:
     """All entries below ``root`` the scan may need, with errors as rows of their own.
 
-    With ``follow_symlinks`` a linked folder is entered under its first-seen real path only,
-    so link cycles end.
+    With ``follow_symlinks`` a linked folder is entered wherever a link stands, unless it is
+    one of the folders the link is in, so link cycles end and nothing else is left out.
     """
     tasks = tasks or spark.sparkContext.defaultParallelism * 4
     table = work_dir(spark, "listing")
@@ -124,15 +124,9 @@ def list_tree(spark: SparkSession, root: str, options: filters.ScanOptions = fil
         descend = _descend(options, F.col("checkpoint").isNotNull())
         placed = placed.withColumn("descend", F.coalesce(descend, F.lit(False)) & F.col("error").isNull())
         if options.follow_symlinks:
-            placed = placed.withColumn("real_path", _real_path()(F.col("path"), F.col("descend")))
+            placed = placed.withColumn("descend", _leads_on(root)(F.col("path"), F.col("descend")))
         placed.write.mode("overwrite").parquet(f"{table}/level={level}")
         frontier = spark.read.parquet(f"{table}/level={level}").filter("descend")
-        if options.follow_symlinks:
-            frontier = frontier.groupBy("real_path").agg(F.min("path").alias("path"))
-            if level:
-                above = [f"{table}/level={n}" for n in range(level)]
-                seen = spark.read.parquet(*above).filter("descend").select("real_path")
-                frontier = frontier.join(seen, "real_path", "left_anti")
         if frontier.isEmpty():
             break
         frontier = frontier.select("path")
@@ -140,17 +134,29 @@ def list_tree(spark: SparkSession, root: str, options: filters.ScanOptions = fil
     return (
         spark.read.option("basePath", table)
         .parquet(table)
-        .drop("relpath", "checkpoint", "descend", "level", "real_path")
+        .drop("relpath", "checkpoint", "descend", "level")
         .withColumn("scan_path", F.lit(root))
     )
 
 
-def _real_path():
-    @F.pandas_udf("string")
-    def resolve(path: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([os.path.realpath(p) if w else None for p, w in zip(path, wanted)])
+def _leads_on(root: str):
+    """Whether a wanted folder is none of the folders it is reached through."""
+
+    @F.pandas_udf("boolean")
+    def leads_on(path: pd.Series, wanted: pd.Series) -> pd.Series:
+        def is_new(folder: str) -> bool:
+            real, above = os.path.realpath(folder), os.path.dirname(folder)
+            while len(above) >= len(root):
+                if os.path.realpath(above) == real:
+                    return False
+                if above == os.path.dirname(above):
+                    break
+                above = os.path.dirname(above)
+            return True
+
+        return pd.Series([bool(w) and is_new(p) for p, w in zip(path, wanted)])
 
-    return resolve
+    return leads_on
 
 
 def _names(get, attribute: str, ident: int) -> str:

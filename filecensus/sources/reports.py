@@ -33,20 +33,19 @@ def latest_report_file(documents: DataFrame, prefix: str = "scan_") -> DataFrame
 
 
 def is_valid() -> Column:
-    """A report has scan metadata or files."""
-    return F.col("scan_metadata").isNotNull() | (F.size(F.coalesce("files", F.array())) > 0)
+    """A report has some field of scan metadata, or files."""
+    said = F.coalesce(F.to_json("scan_metadata"), F.lit("{}")) != "{}"
+    return said | (F.size(F.coalesce("files", F.array())) > 0)
 
 
 def identified(documents: DataFrame) -> DataFrame:
     """Fill what a report may lack: machine, host, id, part number and arrival time.
 
-    The id of a report without one is a digest of what it says about itself, so a replayed
-    document gets the same id again.
+    The id of a report without one is a digest of the whole document, files included, so a
+    replayed document gets the same id again and two different ones never share one.
     """
     unknown = F.lit("unknown")
-    said = F.concat_ws(
-        "|", "machine_id", "scan_metadata.scan_path", "scan_metadata.scan_time", "scan_metadata.exported_at"
-    )
+    said = F.to_json(F.struct("system", "scan_metadata", "files", "part_no", "n_parts"), {"ignoreNullFields": "false"})
     return (
         documents.withColumns(
             {

@@ -66,7 +66,9 @@ def ingest_batch(store: FleetStore):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         valid = source.is_valid()
-        store.write(batch.filter(~valid).select("_corrupt_record"), "rejects", batch_id)
+        fields = [c for c in batch.columns if c != "_corrupt_record"]
+        raw = F.coalesce("_corrupt_record", F.to_json(F.struct(*fields)))
+        store.write(batch.filter(~valid).select(raw.alias("_corrupt_record")), "rejects", batch_id)
         arrived = source.identified(batch.filter(valid)).dropDuplicates(["report_id", "part_no"])
         headers = source.part_headers(arrived)
         known = store.read_before("parts", headers, batch_id).select("report_id", "part_no")
@@ -141,7 +143,7 @@ def _with_last_before(done: DataFrame, fresh: DataFrame, batch_id: int) -> DataF
 def _files_of(files: DataFrame, where: DataFrame) -> DataFrame:
     """Files of the given reports; only the batch folders named in ``where`` are read."""
     spots = where.select("report_id", F.explode("batches").alias("batch_id"))
-    return lookup_join(files, spots, ["report_id", "batch_id"], "left_semi", ["path"]).drop("batch_id")
+    return lookup_join(files, spots, ["report_id", "batch_id"], "left_semi").drop("batch_id")
 
 
 def run_available(stream: DataFrame, store: FleetStore) -> None:

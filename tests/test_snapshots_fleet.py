@@ -163,8 +163,7 @@ def test_alerts(files, reports):
     assert found["b-0", "embedded_secrets"].severity == "critical"
     listed = fleet.alert_files(files).filter("report_id = 'b-0'").collect()
     assert sum(r.alert_type == "deserialization_risk" for r in listed) == 25
-    cut = sorted(r.path for r in listed if r.alert_type == "permissions")
-    assert cut == [f"/d/p{i:02}" for i in range(20)]
+    assert sorted(r.path for r in listed if r.alert_type == "permissions") == [f"/d/p{i:02}" for i in range(25)]
 
 
 def test_nodes_and_overview(files, reports):
@@ -190,16 +189,32 @@ def test_csv_and_json_reports(spark, files, tmp_path):
     assert {"model|data", "secret", "source"} == {r["categories"] for r in lines}
     hashed = sink.csv_rows(files.filter("report_id = 'a-0'").withColumn("owner", F.lit(None).cast("string")))
     assert hashed.columns == sink.CSV_COLUMNS + ["hash"]
-    text = sink.json_document(one, {"hostname": "h"}, {"scan_path": "/d", "errors": ["e"]}).first().report
-    report = json.loads(text)
-    assert report["system"] == {"hostname": "h"}
-    meta = report["scan_metadata"]
-    assert (meta["total_files"], meta["total_size_bytes"], meta["errors"]) == (27, 270, ["e"])
-    assert meta["by_category"]["model"] == {"count": 25, "size": 250, "size_human": "250 B"}
-    assert meta["by_extension"][".csv"]["count"] == 27
-    assert "hash" not in report["files"][0] and report["files"][0]["owner"] == "root"
-    with pytest.raises(ValueError, match="write_json_report"):
-        sink.json_document(one, {}, {}, max_files=5)
+    sink.write_json_report(one, ["report_id"], str(tmp_path / "json"), {"hostname": "h"}, {"errors": ["e"], "scan_duration": 1.005})
+    read = lambda name: [json.loads(x) for p in (tmp_path / "json" / name).glob("*.json") for x in open(p)]
+    (meta,) = read("metadata")
+    assert meta["system"] == {"hostname": "h"} and meta["errors"] == ["e"] and meta["total_files"] == 27
+    assert [r["n_files"] for r in read("extensions") if r["extension"] == ".csv"] == [27]
+    assert len(read("files")) == 27 and "hash" not in read("files")[0] and read("files")[0]["owner"] == "root"
+
+
+def test_reports_without_identity_stay_apart(spark, tmp_path):
+    texts = [
+        '{"scan_metadata": {}, "files": [{"path": "/a", "filename": "a"}]}', '{"files": [{"path": "/b", "filename": "b"}]}',
+        '{"files": [{"path": "/b", "filename": "b"}]}', '{"scan_metadata": {}}', '{"scan_metadata": {"scan_path": "/x"}}', "{broken",
+    ]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.json").write_text(text)
+    given = source.read_reports(spark, str(tmp_path), multi_line=False).cache()
+    assert given.filter(~source.is_valid()).count() == 2
+    ids = [r.report_id for r in source.identified(given.filter(source.is_valid())).collect()]
+    assert len(ids) == 4 and len(set(ids)) == 3
+
+
+def test_unknown_machines_have_no_sequence(spark):
+    rows = [(f"r{k}", machine, "/d", f"2026-01-0{k + 1} 00:00:00", None) for k, machine in enumerate(["unknown", "unknown", "m", "m"])]
+    reports = spark.createDataFrame(rows, "report_id string, machine_id string, scan_path string, received_at string, scan_time string")
+    found = snapshots.with_previous(reports.withColumn("received_at", F.to_timestamp("received_at"))).collect()
+    assert {r.report_id: r.previous_report_id for r in found} == {"r0": None, "r1": None, "r2": None, "r3": "r2"}
 
 
 def parts(sequenced, files, changes, per_part=7):
