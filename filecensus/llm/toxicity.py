@@ -23,6 +23,8 @@ WIDTH, STRIDE = 32, 16
 #: Bounds of the training sample: documents per label, chunks per document.
 SAMPLE_DOCS, SAMPLE_CHUNKS = {0: 4000, 1: 1500}, 128
 ROUNDS, DOC_BATCH, RATE, DECAY = 6, 64, 0.02, 1e-3
+#: Small samples are gone through more often, up to about so many steps.
+LEAST_STEPS = 300
 
 
 def word_grams(block: kernel.Block) -> tuple[kernel.Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -167,8 +169,10 @@ def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7)
         logits = means @ top + bias
         return logits[:, 1] - logits[:, 0], doc, means, (chunk, word, owner, gram, per_word, per_chunk)
 
-    step, steps = 0, ROUNDS * -(-len(teaching) // DOC_BATCH)
-    for turn in range(ROUNDS):
+    per_round = -(-len(teaching) // DOC_BATCH)
+    rounds = max(ROUNDS, min(60, -(-LEAST_STEPS // per_round)))
+    step, steps = 0, rounds * per_round
+    for turn in range(rounds):
         mixed = rng.permutation(teaching)
         for low in range(0, len(mixed), DOC_BATCH):
             at = mixed[low : low + DOC_BATCH]
