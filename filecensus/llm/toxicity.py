@@ -22,7 +22,7 @@ GRAMS, BEGINNINGS = (3, 4, 5), (3, 4, 5, 6)
 WIDTH, STRIDE = 32, 16
 #: Bounds of the training sample: documents per label, chunks per document.
 SAMPLE_DOCS, SAMPLE_CHUNKS = {0: 4000, 1: 1500}, 128
-ROUNDS, DOC_BATCH, RATE, DECAY = 6, 64, 0.02, 1e-3
+ROUNDS, DOC_BATCH, RATE, DECAY = 6, 64, 0.02, 0.3
 #: Small samples are gone through more often, up to about so many steps.
 LEAST_STEPS = 300
 
@@ -141,7 +141,7 @@ def _pick(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7) -> tuple[np.ndarray, float]:
     """Learned logit of every bucket and of an empty text, from chunks (document, label, text).
 
-    Embeddings and softmax are trained together with Adam on batches of documents.  In the first round every
+    Embeddings and softmax are trained together with Adam on batches of documents.  In the first rounds every
     chunk of a document carries its label; then a document teaches by its most toxic chunk, as the
     others of a toxic one may well be clean.  A seventh of the documents is set aside to place the cut.
     """
@@ -180,7 +180,7 @@ def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7)
             odds, doc, means, (chunk, word, owner, gram, per_word, per_chunk) = forward(at)
             label = bags.labels[at][doc]
             weight = np.where(label == 1, 0.5 / positive, 0.5 / (1 - positive)) / len(at)
-            if turn == 0:
+            if turn < max(1, rounds // 6):
                 weight = weight / np.bincount(doc)[doc]
             else:
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -204,7 +204,7 @@ def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7)
         best.append(np.maximum.reduceat(odds, first))
     odds, label = np.concatenate(best), bags.labels[aside]
     cuts = np.unique(np.concatenate((odds - 1e-6, odds + 1e-6)))
-    loss = [2 * np.sum((odds >= c) & (label == 0)) / max(1, np.sum(label == 0)) + np.sum((odds < c) & (label == 1)) / max(1, np.sum(label == 1)) for c in cuts]
+    loss = [4 * np.sum((odds >= c) & (label == 0)) / max(1, np.sum(label == 0)) + np.sum((odds < c) & (label == 1)) / max(1, np.sum(label == 1)) for c in cuts]
     good = cuts[np.array(loss) <= min(loss) + 1e-9]
     side = top[:, 1] - top[:, 0]
     return (side @ table).astype(np.float32), float(bias[1] - bias[0] - np.clip((good[0] + good[-1]) / 2, -6, 6))

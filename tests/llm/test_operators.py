@@ -251,24 +251,19 @@ def test_mix_of_blank_and_equal_sources(spark):
 # --- 1, 3, 6, 7 --------------------------------------------------------------------------
 
 
-def test_toxicity_separates_and_meets_misspellings(spark):
-    rng = random.Random(6)
-    docs, labels = [], []
-    for k in range(700):
-        w = fixture.prose(rng, rng.randrange(20, 160)).split()
-        toxic = k % 4 == 0
-        for _ in range(1 + len(w) // 50 if toxic else 0):
-            w[rng.randrange(len(w))] = rng.choice(["grumblefoot", "snarkwad", "vilekin"]) + rng.choice(["", "s", "ish", "er"])
-        docs.append((k, " ".join(w)))
-        labels.append((k, 1, int(toxic)))
-    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.fitted(frame, marks)
-    found = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
-    held = [k for k in found if zlib.crc32(str(k).encode()) % 5 == 0]
-    assert np.mean([(found[k] >= 0.5) == (k % 4 == 0) for k in held]) > 0.95
-    new = spark.createDataFrame([(1, "w1 w2 grumblefooot w3 w4"), (2, "w1 w2 w9 w3 w4"), (3, None), (4, "")], "doc_id long, text string")
-    scores = {r.doc_id: r.score for r in toxicity.score(new, model).collect()}
-    assert scores[1] > scores[2] and scores[3] == scores[4] and 0 <= scores[3] < 0.5
+def test_toxicity_of_held_out_rows_and_misspellings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fitted(docs, labels)
+    held = labels.where("toxic IS NOT NULL").select("doc_id", "toxic").collect()
+    mark = {r.doc_id: r.toxic for r in held if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect() if r.doc_id in mark}
+    caught = [found[k] >= 0.5 for k in found if mark[k]]
+    wrong = [found[k] >= 0.5 for k in found if not mark[k]]
+    assert np.mean(caught) > 0.65 and np.mean(wrong) < 0.08, (np.mean(caught), np.mean(wrong))
+    new = [(1, "the worthlesss of and"), (2, "the thought of and"), (3, None), (4, ""), (5, " \n ")]
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert scores[1] > scores[2] and scores[3] == scores[4] == scores[5] and 0 <= scores[3] < 0.5
 
 
 def test_toxicity_without_labels(docs, spark):
