@@ -30,7 +30,7 @@ LEAST_FREQUENT = 32
 TOKEN_BITS = np.uint64((1 << 63) - 1)
 HOT_BIT = np.uint64(1 << 63)
 #: Turns of further pivots; they only save single comparisons, which come after them anyway.
-TURNS = 4
+TURNS = 3
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -267,10 +267,13 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         links = overlaps(pairs, sets).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
         known = stored(components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links)), "known")
 
-    placed = stored(mixed_lists(), "placed")
+    # A pair is met at its first shared entry only: the entries before it have nothing in common.
+    before = Window.partitionBy("set_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(mixed_lists().withColumn("earlier", F.collect_list("token").over(before)), "placed")
 
     def side(name: str, frame: DataFrame) -> DataFrame:
-        return frame.select("token", "block", *(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "n", "pos", "component", "center", "extra")))
+        kept = ("set_id", "n", "pos", "component", "center", "extra", "earlier")
+        return frame.select("token", "block", *(F.col(c).alias(f"{c}_{name}") for c in kept))
 
     lower = side("x", placed)
     upper = side("y", placed.withColumn("block", F.explode(F.array("block", F.col("block") - 1))))
@@ -278,11 +281,11 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         lower.join(upper, ["token", "block"])
         .where((F.col("component_x") != F.col("component_y")) & entered("n_x", "pos_x", "n_y", "pos_y"))
         .where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
+        .where(~F.arrays_overlap("earlier_x", "earlier_y"))
         .select(
             F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), F.col("n_x").alias("nx"), F.col("n_y").alias("ny"),
             F.col("center_x").alias("cx"), F.col("center_y").alias("cy"), F.col("extra_x").alias("ex"), F.col("extra_y").alias("ey"),
         )
-        .distinct()
     )
     crossing = stored(still_possible(entries, company, percent), "crossing")
     sets = with_sets(crossing, "x", "y", "cx", "cy")
