@@ -29,6 +29,9 @@ FREQUENT_BOUND = 1 << 20
 LEAST_FREQUENT = 32
 TOKEN_BITS = np.uint64((1 << 63) - 1)
 HOT_BIT = np.uint64(1 << 63)
+#: Parity bits of a set, 64 in each column.
+LANES = 4
+BITS = [f"bits{lane}" for lane in range(LANES)]
 #: Turns of further pivots; they only save single comparisons, which come after them anyway.
 TURNS = 3
 
@@ -88,7 +91,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, set_id, n, prefix): size of each document's set and its first shingles in the global order.
+    """(doc_id, set_id, n, prefix, bits): size, first shingles in the global order and parity bits of each document's set.
 
     A partner of a set of n holds at least ceil(percent * n / 100) of its shingles, so the
     first n - that + 1 in a common order hold a shared one.
@@ -99,7 +102,7 @@ def prefix_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def index(batches):
         hot = frequent.value
         for batch in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, prefixes, bits = [], [], [], [[] for _ in range(LANES)]
             for _, tokens, bounds in _sets(batch.column(1), width):
                 if len(hot) and len(tokens):
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -108,6 +111,8 @@ def prefix_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 size = np.diff(bounds)
                 fps.append(kernel.mix((mixed[bounds[1:]] - mixed[bounds[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40))))
                 sizes.append(size)
+                for lane, own in enumerate(parities(tokens & TOKEN_BITS, bounds)):
+                    bits[lane].append(own)
                 keep = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
                 for r in range(len(size)):
                     own = np.sort(tokens[bounds[r] : bounds[r + 1]])[: keep[r]]
@@ -120,12 +125,29 @@ def prefix_index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)),
                     pa.array(np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)),
                     kernel.lists(flat, ends),
+                    *(pa.array(np.concatenate(b).view(np.int64) if b else np.zeros(0, np.int64)) for b in bits),
                 ],
-                names=["doc_id", "set_id", "n", "prefix"],
+                names=["doc_id", "set_id", "n", "prefix", *BITS],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(index, f"doc_id {kind}, set_id long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        index, f"doc_id {kind}, set_id long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
+    )
+
+
+def parities(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Per row, for each of 64 * LANES residues, whether an odd number of tokens has it.
+
+    Sets that differ in d shingles differ in at most d of these bits.
+    """
+    out = []
+    for lane in range(LANES):
+        own = np.where((tokens >> np.uint64(6)) % np.uint64(LANES) == lane, np.uint64(1) << (tokens & np.uint64(63)), np.uint64(0))
+        sums = np.bitwise_xor.accumulate(own) if len(own) else own
+        sums = np.concatenate(([np.uint64(0)], sums))
+        out.append(sums[bounds[1:]] ^ sums[bounds[:-1]])
+    return out
 
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -269,16 +291,20 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
     # A pair is met at its first shared entry only: the entries before it have nothing in common.
     before = Window.partitionBy("set_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = stored(mixed_lists().withColumn("earlier", F.collect_list("token").over(before)), "placed")
+    parity = index.where("n > 0").groupBy("set_id").agg(*(F.any_value(b).alias(b) for b in BITS))
+    placed = stored(mixed_lists().withColumn("earlier", F.collect_list("token").over(before)).join(parity, "set_id"), "placed")
 
     def side(name: str, frame: DataFrame) -> DataFrame:
-        kept = ("set_id", "n", "pos", "component", "center", "extra", "earlier")
+        kept = ("set_id", "n", "pos", "component", "center", "extra", "earlier", *BITS)
         return frame.select("token", "block", *(F.col(c).alias(f"{c}_{name}") for c in kept))
 
     lower = side("x", placed)
     upper = side("y", placed.withColumn("block", F.explode(F.array("block", F.col("block") - 1))))
+    # Bits in which two sets differ are shingles that only one of them has.
+    apart = sum(F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS)
     entries = (
         lower.join(upper, ["token", "block"])
+        .where(apart <= F.col("n_x") + F.col("n_y") - 2 * needed(F.col("n_x"), F.col("n_y"), percent))
         .where((F.col("component_x") != F.col("component_y")) & entered("n_x", "pos_x", "n_y", "pos_y"))
         .where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
         .where(~F.arrays_overlap("earlier_x", "earlier_y"))

@@ -22,9 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that later steps read more than once, where all executors see it."""
+    """Write a table that later steps read more than once, where all executors see it.
+
+    Spark's cleaner drops the shuffle files of a finished write when the driver collects its garbage, which
+    a long chain of steps should not wait for.
+    """
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
