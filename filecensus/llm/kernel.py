@@ -132,6 +132,18 @@ def word_hashes(block: Block, found: Words) -> np.ndarray:
     return slice_hash(prefix_sums(block.data), found.starts, found.ends)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values ascending, a place of each, which one every value is, and how often each comes."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[first], order[first], which, np.diff(np.append(first, len(values)))
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive word hashes (across rows too; mask by row)."""
     count = len(hashes) - width + 1

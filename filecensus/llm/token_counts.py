@@ -121,9 +121,7 @@ def count_tokens(docs: DataFrame, counter: PieceCounter) -> DataFrame:
             for block in kernel.blocks(batch.column(1)):
                 found = kernel.words(block)
                 sums = kernel.prefix_sums(block.data, kernel.CASED_VALUES)
-                _, first, word = np.unique(
-                    kernel.slice_hash(sums, found.starts, found.ends), return_index=True, return_inverse=True
-                )
+                _, first, word, _ = kernel.distinct(kernel.slice_hash(sums, found.starts, found.ends))
                 pieces = counter.counts(block.data, found.starts[first], found.ends[first])
                 running = np.concatenate(([0], np.cumsum(pieces[word])))
                 rows = slice(block.first, block.first + block.rows)
