@@ -152,9 +152,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts are read twice and never shuffled."""
-    rows = measured(docs.select("text")).withColumn("votes", votes())
-    posterior = fit(pattern_counts(rows.select("n_words", "votes")))
-    names = docs.columns
-    renamed = docs.select(F.struct(*map(F.col, names)).alias("row"), "text")
-    return judged(measured(renamed).withColumn("votes", votes()), posterior).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Rows are written once beside their measures and votes, so no measure is worked out twice.
+    """
+    renamed = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), "text")
+    rows = measured(renamed).withColumn("votes", votes()).select("row", "n_words", "n_repeat_words", "votes")
+    rows = stored(rows, "judged")
+    return judged(rows, fit(pattern_counts(rows))).where("kept").select("row.*")
