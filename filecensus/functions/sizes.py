@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +40,14 @@ def parse_size(text: Column, strict: bool = True) -> Column:
 
 
 def size_option(text: str) -> int:
-    """Bytes of a size text given as a job option (driver side)."""
-    match = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([A-Z]{0,2})", text.strip().upper())
-    unit = match.group(2) or "B" if match else None
-    if unit not in UNITS:
-        raise ValueError(f"Invalid size format: {text!r}. Examples: 10MB, 1GB, 500KB")
-    return int(float(match.group(1)) * 1024 ** UNITS[unit])
+    """Bytes of a size text given as a job option (driver side): a number, then a unit or nothing."""
+    cleaned = text.strip().upper()
+    number = cleaned.rstrip("".join(UNITS)).rstrip()
+    power = UNITS.get(cleaned[len(number) :].strip() or "B")
+    whole, point, part = number.partition(".")
+    if power is None or not whole.isdecimal() or (point and not part.isdecimal()):
+        raise ValueError(f"not a size: {text!r}; give a number and one of {', '.join(UNITS)}")
+    return int(float(number) * 1024**power)
 
 
 def format_timestamp(seconds: Column) -> Column:
