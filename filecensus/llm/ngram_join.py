@@ -32,8 +32,10 @@ HOT_BIT = np.uint64(1 << 63)
 #: Parity bits of a set, 64 in each column.
 LANES = 4
 BITS = [f"bits{lane}" for lane in range(LANES)]
-#: Turns of further pivots; they only save single comparisons, which come after them anyway.
-TURNS = 3
+#: Further pivots of a list; they only save single comparisons, which come after them anyway.
+PIVOTS = 3
+#: Size of the bit table that tells wanted sets apart.
+SPOTS = 1 << 22
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -150,20 +152,34 @@ def parities(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, tokens) of every document with words, one row per document."""
+def set_rows(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(set_id, tokens) of every document whose set may be one of ``wanted`` (set_id).
+
+    A bit table of fixed size tells most other documents apart where they are read, so no text is shuffled.
+    """
+    spots = wanted.select(F.pmod("set_id", F.lit(SPOTS)).alias("spot")).distinct().toArrow().column("spot").to_numpy()
+    table = np.zeros(SPOTS, dtype=bool)
+    table[spots] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def whole(batches):
+        table = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for _, tokens, bounds in _sets(batch.column(0), width):
                 mixed = np.concatenate(([np.uint64(0)], np.cumsum(kernel.mix(tokens))))
                 size = np.diff(bounds)
-                fps = kernel.mix((mixed[bounds[1:]] - mixed[bounds[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40)))
+                fps = kernel.mix((mixed[bounds[1:]] - mixed[bounds[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40))).view(np.int64)
+                keep = np.flatnonzero(table[fps % SPOTS] & (size > 0))
+                flat = [tokens[bounds[r] : bounds[r + 1]] for r in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps.view(np.int64)), kernel.lists(tokens.view(np.int64), bounds)], names=["set_id", "tokens"]
+                    [
+                        pa.array(fps[keep]),
+                        kernel.lists(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum(size[keep])))),
+                    ],
+                    names=["set_id", "tokens"],
                 )
 
-    return docs.select("text").mapInArrow(whole, "set_id long, tokens array<long>").where(F.size("tokens") > 0)
+    return docs.select("text").mapInArrow(whole, "set_id long, tokens array<long>")
 
 
 def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -221,10 +237,9 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     company = stored(prefixes.join(lists.select("set_id").distinct(), "set_id", "left_semi"), "company")
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
-        """Sets that pairs ask for, from the texts of one document each."""
-        sources = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("own")).select("own")
-        chosen = docs.select("doc_id", "text").join(sources, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-        found = _set_rows(chosen, width).join(wanted, "set_id", "left_semi")
+        """Sets that pairs ask for."""
+        wanted = stored(wanted, "wanted")
+        found = set_rows(docs, width, wanted).join(wanted, "set_id", "left_semi")
         return stored(found.groupBy("set_id").agg(F.any_value("tokens").alias("tokens")), "sets")
 
     def ends(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -274,20 +289,22 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
         return sizes & (F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) >= needed(F.col(n1), F.col(n2), percent))
 
-    # Components join by further pivots, one per list and size block, before single pairs are met.
-    for turn in range(TURNS):
-        by_block = Window.partitionBy("token", "near")
-        pivot = F.min(F.struct(F.xxhash64("token", "set_id", F.lit(turn)).alias("h"), "set_id", "n", "pos", "component")).over(by_block)
-        offered = (
-            mixed_lists().withColumn("near", F.explode(F.array("block", F.col("block") - 1))).withColumn("p", pivot)
-            .select("set_id", "n", "pos", "component", F.col("p.set_id").alias("y"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py"), F.col("p.component").alias("cy"))
-            .where((F.col("component") != F.col("cy")) & entered("n", "pos", "ny", "py"))
-            .select(F.col("set_id").alias("x"), "y", F.col("n").alias("nx"), "ny").distinct()
-        )
-        pairs = stored(still_possible(offered, company, percent), "pairs")
-        sets = with_sets(pairs, "x", "y")
-        links = overlaps(pairs, sets).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        known = stored(components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links)), "known")
+    # Components join by further pivots of each list and size block, before single pairs are met.
+    by_block = Window.partitionBy("token", "near")
+    blocked = mixed_lists().withColumn("near", F.explode(F.array("block", F.col("block") - 1)))
+    pivots = F.array(
+        *(F.min(F.struct(F.xxhash64("token", "set_id", F.lit(k)).alias("h"), "set_id", "n", "pos", "component")).over(by_block) for k in range(PIVOTS))
+    )
+    offered = (
+        blocked.withColumn("pivots", F.array_distinct(pivots)).withColumn("p", F.explode("pivots"))
+        .select("set_id", "n", "pos", "component", F.col("p.set_id").alias("y"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py"), F.col("p.component").alias("cy"))
+        .where((F.col("component") != F.col("cy")) & entered("n", "pos", "ny", "py"))
+        .select(F.col("set_id").alias("x"), "y", F.col("n").alias("nx"), "ny").distinct()
+    )
+    pairs = stored(still_possible(offered, company, percent), "pairs")
+    sets = with_sets(pairs, "x", "y")
+    links = overlaps(pairs, sets).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    known = stored(components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links)), "known")
 
     # A pair is met at its first shared entry only: the entries before it have nothing in common.
     before = Window.partitionBy("set_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
