@@ -456,6 +456,33 @@ def top_extensions(spark, sf_dir):
     return ordering.top_extensions(demo.inventory(spark, sf_dir), 8)
 
 
+@query(
+    INV + "SELECT category, n_files, total_size, CAST(format('{:.1f}', total_size / MAX(total_size) OVER () * 100) AS DOUBLE) AS bar_percent, "
+    "ROW_NUMBER() OVER (ORDER BY total_size DESC, category) AS position FROM ("
+    "SELECT category, COUNT(*) AS n_files, CAST(SUM(size_bytes) AS BIGINT) AS total_size FROM "
+    "(SELECT size_bytes, unnest(string_split(categories, '|')) AS category FROM inv) GROUP BY category)"
+)
+def categories_by_size(spark, sf_dir):
+    found = ordering.categories_by_size(demo.inventory(spark, sf_dir))
+    return ordering.positions(stored(ordering.partitioned(found), "sorted"))
+
+
+@query(
+    INV + "SELECT category, COUNT(*) AS n_files, CAST(SUM(size_bytes) AS BIGINT) AS total_size, "
+    "ROW_NUMBER() OVER (ORDER BY category) AS position FROM "
+    "(SELECT size_bytes, unnest(string_split(categories, '|')) AS category FROM inv) GROUP BY category"
+)
+def categories_by_name(spark, sf_dir):
+    found = ordering.categories_by_name(demo.inventory(spark, sf_dir))
+    return ordering.positions(stored(ordering.partitioned(found), "sorted"))
+
+
+@query(INV + "SELECT machine_id, path, array_to_string(string_split(categories, '|')[1:1], '|') AS shown FROM inv")
+def category_display_cut(spark, sf_dir):
+    shown = F.array_join(ordering.first_items(F.col("categories"), 1), "|").alias("shown")
+    return demo.inventory(spark, sf_dir).select(*FILE_KEYS, shown)
+
+
 # --- snapshots --------------------------------------------------------------------------------
 
 
