@@ -313,14 +313,12 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
     def side(name: str, frame: DataFrame) -> DataFrame:
         kept = ("set_id", "n", "pos", "component", "center", "extra", "earlier", *BITS)
-        return frame.select("token", "block", *(F.col(c).alias(f"{c}_{name}") for c in kept))
+        return frame.select("token", *(F.col(c).alias(f"{c}_{name}") for c in kept))
 
-    lower = side("x", placed)
-    upper = side("y", placed.withColumn("block", F.explode(F.array("block", F.col("block") - 1))))
     # Bits in which two sets differ are shingles that only one of them has.
     apart = sum(F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in BITS)
     entries = (
-        lower.join(upper, ["token", "block"])
+        side("x", placed).join(side("y", placed), "token")
         .where(apart <= F.col("n_x") + F.col("n_y") - 2 * needed(F.col("n_x"), F.col("n_y"), percent))
         .where((F.col("component_x") != F.col("component_y")) & entered("n_x", "pos_x", "n_y", "pos_y"))
         .where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
