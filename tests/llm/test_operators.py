@@ -311,6 +311,21 @@ def test_network_gradients_and_normalisation():
     assert abs(total - 1) < 1e-6
 
 
+def test_every_window_teaches(spark):
+    """Texts of equal first and last ids and length; only a window that is trained on moves the vector of its middle word."""
+    middle = "cat dog house water money music school city paper table".split()
+    texts = spark.createDataFrame([(f"the {w} was",) for w in middle], "text string").coalesce(1)
+    counts = {(r.id): r.c for r in language_model.word_and_id_counts(texts, language_model.VOCABULARY).where("id IS NOT NULL").collect()}
+    by_id = np.zeros(language_model.N_IDS)
+    by_id[list(counts)] = list(counts.values())
+    compact, own, _ = language_model.compact_ids(by_id)
+    start = language_model.initial(own)
+    net = language_model.averaged_weights(texts, start, compact, language_model.VOCABULARY)
+    ids, begins = language_model.Subwords().of_words([w.encode() for w in middle])
+    assert len(ids) == len(middle) == len(set(ids.tolist()))
+    assert (np.abs(net["embed"][compact[ids]] - start["embed"][compact[ids]]).max(axis=1) > 0).all()
+
+
 def test_windows_score_each_place_once():
     bounds = np.array([0, 1, 40, 41, 200, 232])
     low, size, done = language_model.windows(bounds)
