@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecensus.llm import kernel
+from filecensus.llm.shared import row_key
 
 #: Words under a 1 are hashed, those under a 0 ignored.
 MASKS = ("11101101111", "11011100111", "1110011011011", "1111111")
@@ -116,7 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {own}, item_id {item_kind}, first_word long, n_words long, n_equal long"
-    arrow = [pa.int64() if k in ("bigint", "long") else pa.int32() if k == "int" else pa.string() for k in (own, item_kind)]
+    item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
 
     def finder(shared):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +127,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for block in kernel.blocks(batch.column(1)):
                     found = kernel.words(block, kernel.ALNUM)
                     for row, item, start, size, agree in probe.verified(kernel.word_hashes(block, found), found.bounds):
-                        rows.append((batch.column(0)[block.first + row].as_py(), probe.ids[item], start, size, agree))
+                        rows.append((block.first + row, probe.ids[item], start, size, agree))
+                places, *rest = (pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), item_type, *[pa.int64()] * 3]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate([*arrow, pa.int64(), pa.int64(), pa.int64()])],
+                    [batch.column(0).take(places), *rest],
                     names=["doc_id", "item_id", "first_word", "n_words", "n_equal"],
                 )
 
@@ -142,6 +144,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns; rows with a null id are judged alike."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with their columns.
+
+    Each row is judged by its own text: one that shares its id with a row that goes, or like it has none, stays.
+    """
+    found = leaks(docs.select(row_key().alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(found, row_key() == F.col("leaked"), "left_anti")

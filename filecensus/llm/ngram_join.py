@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from filecensus.llm import kernel
 from filecensus.llm.components import components
-from filecensus.llm.shared import stored
+from filecensus.llm.shared import row_key, stored
 
 #: At most this many shingles count as frequent; see ``frequent_shingles``.
 FREQUENT_BOUND = 1 << 20
@@ -352,12 +352,14 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for.
 
-    The row with the least doc_id stays, of rows that repeat an id one; rows without words and
-    rows with a null id stay as they are.  Columns are kept.
+    The row with the least doc_id stays, of rows of a component that repeat its id one; rows are told apart by
+    id and text, so a row whose id comes again in another component is judged by its own.  Rows without
+    words and rows with a null id stay as they are.  Columns are kept.
     """
-    found = stored(set_components(docs.where(F.col("doc_id").isNotNull()), width, percent).where("n_shingles > 0"), "found")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(row_key().alias("doc_id"), "text")
+    found = stored(set_components(keyed, width, percent).where("n_shingles > 0"), "found")
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select("doc_id").join(dropped, "doc_id", "left_anti")
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = docs.join(dropped.union(again).withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    once = docs.join(again.select(F.col("doc_id").alias("gone")), row_key() == F.col("gone"), "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = docs.join(dropped.union(again).withColumnRenamed("doc_id", "gone"), row_key() == F.col("gone"), "left_anti")
     return rest.unionByName(once)

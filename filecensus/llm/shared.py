@@ -41,3 +41,8 @@ def words_of(text: Column) -> Column:
 def crc_remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Id and text hash of a row, which tell rows that share an id (or have none) apart; never null, nulls are equal."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text, F.length(text)).alias("content"))

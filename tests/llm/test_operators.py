@@ -101,6 +101,15 @@ def test_one_per_component_keeps_columns_and_clean_rows(docs, rows):
     assert multiset(got) == multiset([*want, None, None])
 
 
+def test_one_per_component_judges_rows_that_repeat_an_id(spark):
+    rng = random.Random(6)
+    a, b, c = (fixture.prose(rng, 80, 5000) for _ in range(3))
+    texts = [(1, a), (1, b), (1, a), (2, b), (3, c), (3, a), (4, f"{c} end"), (1, f"{a} end"), (None, a), (None, c)]
+    kept = ngram_join.one_per_component(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    near = [(r.doc_id, r.text.removesuffix(" end")) for r in kept]
+    assert multiset(near) == multiset([(1, a), (1, b), (3, c), (None, a), (None, c)])
+
+
 @pytest.mark.parametrize("length", [32, 200])
 def test_repeated_spans(docs, rows, length, monkeypatch):
     found = suffix_dedup.repeated_spans(docs, length)
@@ -356,6 +365,15 @@ def test_leaks_survive_substitutions(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want} - {None}
 
 
+def test_without_leaks_keeps_clean_rows_of_leaked_ids(spark):
+    rng = random.Random(12)
+    item, clean = fixture.prose(rng, 30, 5000), [fixture.prose(rng, 60, 5000) for _ in range(3)]
+    rows = [(None, f"{clean[0]} {item}"), (None, clean[0]), (None, clean[1]), (None, None), (5, item), (5, clean[2]), (5, clean[2]), (6, "")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert multiset(map(tuple, kept)) == multiset([rows[k] for k in (1, 2, 3, 5, 6, 7)])
+
+
 def test_leaks_in_several_blocks(spark, monkeypatch):
     rng = random.Random(3)
     items = [(k, fixture.prose(rng, 30, 5000)) for k in range(9)]
