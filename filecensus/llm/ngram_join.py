@@ -7,8 +7,8 @@ relations keep the work near the number of links:
 * equal sets are one class, whatever the number of documents;
 * the answers of a set come from a highly similar set: every list proposes its members to one
   pivot, and what is known of the pivots bounds the overlap of any two of their members;
-* lists whose members are connected already are skipped whole, and the others are cut into
-  size blocks and entered only at positions that still allow a link.
+* lists whose members are connected already are skipped whole; size blocks serve the choice of
+  further pivots only, and the last join meets all pairs of the other lists and filters them by size and position.
 """
 
 from __future__ import annotations
