@@ -1,9 +1,9 @@
-"""SHA-256 of texts and of folders.
+"""SHA-256 of texts, files and folders.
 
-A folder's hash is the SHA-256 of its files' sorted ``relative path:hash`` lines.  Folders
-up to a bound are hashed by an ordinary aggregate.  A larger folder is never gathered: its
-lines are range-partitioned in order, written, and hashed slice by slice with the running
-SHA-256 state handed from one slice to the next.
+A folder's hash is the SHA-256 of its files' sorted ``relative path:hash`` lines.  Lines are
+dealt by folder and sorted inside their partition, which Spark spills to disk as needed, and
+each folder's lines run through one hash object as they come.  So a task holds one batch of
+lines whatever the size of a folder, and all folders are hashed side by side.
 """
 
 from __future__ import annotations
@@ -11,103 +11,75 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filecensus.functions.sha256 import Sha256
-from filecensus.operators.lookup import lookup_join
-from filecensus.session import work_dir
-
-MAX_LINES = 100_000
-
 
 def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def folder_hashes(
-    files: DataFrame, keys: list[str], rel: str = "rel", digest: str = "hash", max_lines: int = MAX_LINES
-) -> DataFrame:
+def folder_hashes(files: DataFrame, keys: list[str], rel: str = "rel", digest: str = "hash") -> DataFrame:
     """``keys`` plus ``folder_hash``; files without a hash are left out.
 
-    A folder whose files all lack a hash gets the hash of the empty text.
+    A folder whose files all lack a hash gets the hash of the empty text.  Null keys are a
+    folder of their own.  SHA-256 needs a folder's bytes in order, so one huge folder is one
+    sequential stream; it shares its task with few others and is never gathered.
     """
-    lines = files.select(
-        *keys,
-        F.when(F.col(digest).isNotNull(), F.concat_ws(":", F.col(rel), F.col(digest))).alias("line"),
+    line = F.when(F.col(digest).isNotNull(), F.concat_ws(":", F.col(rel), F.col(digest)))
+    lines = files.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], line.alias("line"))
+    names = lines.columns[:-1]
+    schema = ", ".join(f"{n} {lines.schema[n].dataType.simpleString()}" for n in names)
+    hashed = (
+        lines.repartition(*names)
+        .sortWithinPartitions(*names, "line")
+        .mapInArrow(_streamed(len(names)), f"{schema}, folder_hash string")
     )
-    large = lines.groupBy(*keys).agg(F.count("line").alias("_n")).filter(F.col("_n") > max_lines)
-    if large.isEmpty():
-        return _gathered(lines, keys)
-    large = large.drop("_n")
-    small = _gathered(lookup_join(lines, large, keys, "left_anti"), keys)
-    return small.unionByName(_chained(lookup_join(lines, large, keys, "left_semi"), keys, max_lines))
-
+    return hashed.toDF(*keys, "folder_hash")
 
-def _gathered(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounded folders: sort and join their lines inside one aggregate row."""
-    joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-    return lines.groupBy(*keys).agg(F.sha2(joined, 256).alias("folder_hash"))
 
+def _streamed(n_keys: int):
+    """Hash the runs of equal keys of one sorted partition, a run over any number of batches."""
 
-def _chained(lines: DataFrame, keys: list[str], slice_lines: int) -> DataFrame:
-    """Unbounded folders: hash ordered slices one after the other.
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows whose keys differ from the row before."""
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for i in range(n_keys):
+            codes = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            changed[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(changed)
 
-    Only a state of about a hundred bytes travels between slices.
-    """
-    spark = lines.sparkSession
-    lines = lines.filter(F.col("line").isNotNull())
-    n_slices = max(1, -(-lines.count() // slice_lines))
-    table = work_dir(spark, "folder-lines")
-    (
-        lines.repartitionByRange(n_slices, *keys, "line")
-        .withColumn("_slice", F.spark_partition_id())
-        .write.partitionBy("_slice")
-        .parquet(table)
-    )
-    stored = spark.read.parquet(table)
-    out = f"{table}-hashes"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.select(*keys).schema)
-    schema += ", state binary, folder_hash string"
-    carried: dict = {}
-    for number in range(n_slices):
-        last = number == n_slices - 1
-        done = (
-            stored.filter(F.col("_slice") == number)
-            .coalesce(1)
-            .sortWithinPartitions(*keys, "line")
-            .mapInPandas(_slice_hasher(keys, dict(carried), last), schema)
+    def closed(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*done))
+        arrays = [pa.array(columns[i], schema.field(i).type) for i in range(n_keys)]
+        return pa.RecordBatch.from_arrays(
+            [*arrays, pa.array(columns[-1], pa.string())], names=[*schema.names[:n_keys], "folder_hash"]
         )
-        done.write.mode("overwrite").parquet(f"{out}/slice={number}")
-        left_open = spark.read.parquet(f"{out}/slice={number}").filter("state IS NOT NULL").collect()
-        carried = {tuple(r[k] for k in keys): bytes(r["state"]) for r in left_open}
-    return spark.read.parquet(out).filter("folder_hash IS NOT NULL").select(*keys, "folder_hash")
-
-
-def _slice_hasher(keys: list[str], carried: dict, last: bool):
-    """Hash one ordered slice; the final folder of a slice stays open for the next one.
-
-    ``carried`` holds at most one state, that of the folder the previous slice left open.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, hasher = next(((k, Sha256(s)) for k, s in carried.items()), (None, None))
-        closed = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = schema = None
+        begun = False
         for batch in batches:
-            for key, lines in batch.groupby(keys, sort=False)["line"]:
-                text = "\n".join(lines).encode()
-                if key == current:
-                    hasher.update(b"\n" + text)
-                    continue
-                if current is not None:
-                    closed.append((*current, None, hasher.hexdigest()))
-                current, hasher = key, Sha256()
-                hasher.update(text)
-        if current is not None:
-            ending = (None, hasher.hexdigest()) if last else (hasher.state(), None)
-            closed.append((*current, *ending))
-        yield pd.DataFrame(closed, columns=[*keys, "state", "folder_hash"])
+            if not batch.num_rows:
+                continue
+            schema, done = batch.schema, []
+            cuts = [0, *changes(batch).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                own = tuple(batch.column(i)[start].as_py() for i in range(n_keys))
+                if state is None or own != key:
+                    if state is not None:
+                        done.append((*key, state.hexdigest()))
+                    key, state, begun = own, hashlib.sha256(), False
+                lines = batch.column(n_keys).slice(start, end - start).drop_null().to_pylist()
+                if lines:
+                    state.update(("\n" * begun + "\n".join(lines)).encode())
+                    begun = True
+            if done:
+                yield closed(done, schema)
+        if state is not None:
+            yield closed([(*key, state.hexdigest())], schema)
 
     return run
 

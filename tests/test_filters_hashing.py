@@ -6,7 +6,6 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from filecensus.functions import sha256
 from filecensus.operators import filters, hashing, lookup, ordering, rollups
 
 PATHS = {
@@ -72,34 +71,36 @@ def test_folder_tree_against_brute_force(listing):
     assert {r.folder: [r.n_files, r.total_size] for r in rows} == dict(expected)
 
 
-@pytest.mark.parametrize("native", [True, False])
-def test_sha256_state_can_be_handed_on(native, monkeypatch):
-    if native and sha256.LIBCRYPTO is None:
-        pytest.skip("no libcrypto")
-    if not native:
-        monkeypatch.setattr(sha256, "LIBCRYPTO", None)
-    for n in (0, 1, 55, 56, 63, 64, 65, 119, 128, 1000):
-        data = bytes(range(256)) * 4
-        first = sha256.Sha256()
-        first.update(data[: n // 3])
-        second = sha256.Sha256(first.state())
-        second.update(data[n // 3 : n])
-        assert second.hexdigest() == hashlib.sha256(data[:n]).hexdigest()
-
-
-@pytest.mark.parametrize("max_lines", [1000, 40, 7])
-def test_folder_hashes_gathered_and_chained(spark, max_lines):
-    """A folder with most of the files is hashed in slices and gives the same hash."""
-    rows = [("hot", f"d/{i:03}é", f"{i:064x}") for i in range(300)]
-    rows += [("warm", f"f{i}", f"{i:064x}") for i in range(30)]
-    rows += [("cold", "x", "1" * 64), ("cold", "unreadable", None), ("blank", "y", None)]
-    given = spark.createDataFrame(rows, "folder string, rel string, hash string").repartition(5)
+@pytest.mark.parametrize("batch_rows", [7, 10000])
+def test_folder_hashes_stream_through_batches(spark, batch_rows):
+    """Folders over many Arrow batches, shared partitions, null keys and files without a hash."""
+    rows = [("hot", 1, f"d/{i:03}é", f"{i:064x}") for i in range(300)]
+    rows += [("warm", n, f"f{i}", f"{i:064x}") for i in range(30) for n in (1, None)]
+    rows += [("cold", 1, "x", "1" * 64), ("cold", 1, "unreadable", None), ("blank", 1, "y", None), (None, 1, "z", "2" * 64)]
+    given = spark.createDataFrame(rows, "folder string, no int, rel string, hash string").repartition(5)
     expected = {}
-    for folder in ("hot", "warm", "cold", "blank"):
-        lines = sorted(f"{r}:{h}" for f, r, h in rows if f == folder and h)
-        expected[folder] = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    found = hashing.folder_hashes(given, ["folder"], max_lines=max_lines).collect()
-    assert {r.folder: r.folder_hash for r in found} == expected
+    for key in {r[:2] for r in rows}:
+        lines = sorted(f"{r}:{h}" for *k, r, h in rows if tuple(k) == key and h)
+        expected[key] = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        found = hashing.folder_hashes(given, ["folder", "no"]).collect()
+        assert {(r.folder, r.no): r.folder_hash for r in found} == expected and len(found) == len(expected)
+        assert hashing.folder_hashes(given.limit(0), ["folder", "no"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_folder_of_many_lines_hashes_in_one_pass(spark):
+    """A folder of 250,000 lines beside small ones, with the corpus operators imported or not."""
+    ids = spark.range(250_100)
+    folder = F.when(F.col("id") < 250_000, "huge").otherwise(F.col("id").cast("string"))
+    lines = ids.select(folder.alias("folder"), F.lpad(F.col("id").cast("string"), 9, "0").alias("rel"), F.md5(F.col("id").cast("string")).alias("hash"))
+    found = {r.folder: r.folder_hash for r in hashing.folder_hashes(lines, ["folder"]).collect()}
+    whole = hashlib.sha256()
+    for i in range(250_000):
+        whole.update(("\n" * (i > 0) + f"{i:09}:{hashlib.md5(str(i).encode()).hexdigest()}").encode())
+    assert len(found) == 101 and found["huge"] == whole.hexdigest()
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
