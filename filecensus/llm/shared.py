@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from filecensus.session import work_dir
 
-# Workers get the functions themselves, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["filecensus"])
+# Workers get this subpackage's functions themselves, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["filecensus.llm"])
 
 #: A word: everything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
