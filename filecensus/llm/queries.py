@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filecensus.llm import (
+    alignment,
+    conversation_repair,
     decontaminate,
     language_model,
     licenses,
     mixing,
     ngram_join,
+    packing,
     quality,
     secrets_scan,
     suffix_dedup,
@@ -159,3 +162,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every text under the attention model, beside the add-one word model."""
     return language_model.score(documents(spark, sf_dir))
+
+
+@query()
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two vocabularies that end together in every text, and how common their links are."""
+    return alignment.alignment_digests(documents(spark, sf_dir))
+
+
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4,096 tokens that hold the sources in the proportions of the whole."""
+    pieces = packing.pack(documents(spark, sf_dir))
+    crc = packing.ids_crc32(F.col("ids")).alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest edits that put each damaged conversation right."""
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.summaries(conversation_repair.repair(conversation_repair.with_faults(rows)))
