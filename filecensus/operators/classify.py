@@ -64,36 +64,43 @@ def _branch() -> Column:
     )
 
 
-def _content_rule(window: R.Window) -> Column:
-    """The final rule.  Content is looked at only in branches that need it."""
-    branch, name = F.col("_branch"), F.col("filename")
+def head_tests(window: R.Window) -> dict[str, Column]:
+    """What the content rules ask of a file, answered from ``head`` and ``head_bytes``."""
     head, raw = F.col("head"), F.col("head_bytes")
     start = text.first_chars(head, window.keyword_chars)
-    agent = text.matches(name, R.AGENT_NAME) & (
-        text.keyword_hits(start, R.AGENT_KEYWORDS) >= R.KEYWORD_THRESHOLD
-    )
-    skill = text.matches(name, R.SKILL_NAME) & (
-        text.keyword_hits(start, R.SKILL_KEYWORDS) >= R.KEYWORD_THRESHOLD
-    )
-    yaml = text.keyword_hits(text.first_chars(head, window.yaml_chars), R.AI_KEYWORDS)
     magic = F.lit(False)
     for word, length in R.BINARY_MAGIC.items():
         magic = magic | (text.magic(raw, length) == word.encode().hex().upper())
-    by_siblings = (F.col("size_bytes") > R.LARGE_BINARY_BYTES) & F.col("_model_folder")
-    sqlite = text.magic(raw, len(R.SQLITE_MAGIC)) == R.SQLITE_MAGIC.encode().hex().upper()
     limit = window.database_bytes
     chunk = raw if limit is None else F.substr(raw, F.lit(1), F.lit(limit))
-    vector = text.contains_any(F.decode(chunk, "ISO-8859-1"), R.VECTOR_DB_WORDS)
+    counted = {
+        "agent": (start, R.AGENT_KEYWORDS),
+        "skill": (start, R.SKILL_KEYWORDS),
+        "yaml": (text.first_chars(head, window.yaml_chars), R.AI_KEYWORDS),
+    }
+    return {name: text.keyword_hits(seen, words) >= R.KEYWORD_THRESHOLD for name, (seen, words) in counted.items()} | {
+        "magic": magic,
+        "sqlite": text.magic(raw, len(R.SQLITE_MAGIC)) == R.SQLITE_MAGIC.encode().hex().upper(),
+        "vector": text.contains_any(F.decode(chunk, "ISO-8859-1"), R.VECTOR_DB_WORDS),
+    }
+
+
+def _content_rule(tests: dict[str, Column]) -> Column:
+    """The final rule.  Content is looked at only in branches that need it."""
+    branch, name = F.col("_branch"), F.col("filename")
+    agent = text.matches(name, R.AGENT_NAME) & tests["agent"]
+    skill = text.matches(name, R.SKILL_NAME) & tests["skill"]
+    by_siblings = (F.col("size_bytes") > R.LARGE_BINARY_BYTES) & F.col("_model_folder")
     return F.coalesce(
         F.when(branch == "txt", F.when(agent, "agent_text"))
         .when(
             branch.isin("yaml", "json"),
             F.when(agent, "agent_config")
             .when(skill, "skill_config")
-            .when((branch == "yaml") & (yaml >= R.KEYWORD_THRESHOLD), "ai_yaml"),
+            .when((branch == "yaml") & tests["yaml"], "ai_yaml"),
         )
-        .when(branch == "bin", F.when(magic | by_siblings, "binary_model"))
-        .when(branch == "db", F.when(sqlite, F.when(vector, "vector_database").otherwise("database")))
+        .when(branch == "bin", F.when(tests["magic"] | by_siblings, "binary_model"))
+        .when(branch == "db", F.when(tests["sqlite"], F.when(tests["vector"], "vector_database").otherwise("database")))
         .otherwise(branch),
         F.lit(UNCLASSIFIED),
     )
@@ -121,10 +128,12 @@ def classify(
     rules: R.Rules | None = None,
     listing: DataFrame | None = None,
     keep_unclassified: bool = False,
+    tests: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add categories, category, detection method, confidence and risk to files.
 
-    ``files`` needs path, filename, size_bytes, head (text) and head_bytes (binary).
+    ``files`` needs path, filename, size_bytes, head (text) and head_bytes (binary); instead of the last two,
+    ``tests`` may answer what the content rules ask (``contents.tests``).
     ``listing`` (machine_id, path, filename of *all* files) switches on the
     rule that a large ``.bin`` beside a model config is a model.  Rows no rule matches are
     dropped unless ``keep_unclassified``.
@@ -135,7 +144,6 @@ def classify(
     if len(rules.extensions) + len(rules.risks) + len(rules.ambiguous) <= 100_000:
         table = F.broadcast(table)
     name = F.col("filename")
-    window = rules.window
     named = files.withColumn("_ext", paths.extension(name)).withColumn(
         "_name_rule", name_rule(name, F.col("_ext"), paths.stem(name))
     )
@@ -153,7 +161,7 @@ def classify(
             .withColumn("_model_folder", F.lit(False))
             .unionByName(asking.withColumn("_model_folder", F.coalesce("_model_folder", F.lit(False))).drop("_parent"))
         )
-    decided = ruled.withColumn("rule", _content_rule(rules.window))
+    decided = ruled.withColumn("rule", _content_rule(tests or head_tests(rules.window)))
     return _describe(decided, keep_unclassified).drop(
         "_ext", "_name_rule", "_branch", "_model_folder", *R.EXTENSION_RULES.fieldNames()
     )

@@ -48,14 +48,20 @@ def _with_tests(seen: Column, rules: R.Rules, combine) -> Column:
     return text.let(F.lower(seen), tests)
 
 
-def flag_embedded_secrets(files: DataFrame, rules: R.Rules | None = None) -> DataFrame:
+def any_rule(seen: Column, rules: R.Rules) -> Column:
+    """Does some secret rule match the text?"""
+    return _with_tests(seen, rules, lambda tests: reduce(or_, tests))
+
+
+def flag_embedded_secrets(files: DataFrame, rules: R.Rules | None = None, found: Column | None = None) -> DataFrame:
     """Raise files whose text matches a secret rule to danger.
 
-    The cheap guard stands first, so texts are searched only for rows that can change.
+    The cheap guard stands first, so texts are searched only for rows that can change.  ``found``
+    says whether a rule matches where that was worked out before, else ``head`` is searched.
     """
     rules = rules or R.Rules()
-    seen = text.first_chars(F.col("head"), rules.window.secret_chars)
-    found = _with_tests(seen, rules, lambda tests: reduce(or_, tests))
+    if found is None:
+        found = any_rule(text.first_chars(F.col("head"), rules.window.secret_chars), rules)
     return (
         files.withColumn("_embedded", F.when(scannable(), F.coalesce(found, F.lit(False))).otherwise(F.lit(False)))
         .withColumns(

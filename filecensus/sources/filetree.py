@@ -9,7 +9,6 @@ All executors must see the tree under the same path.
 
 from __future__ import annotations
 
-import io
 import os
 import stat
 from collections.abc import Iterator
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 
 from filecensus.functions import paths, text
 from filecensus.operators import classify as C
-from filecensus.operators import filters, hashing, permissions
+from filecensus.operators import contents, filters, hashing, permissions
 from filecensus.operators import rules as R
+from filecensus.operators.lookup import lookup_join
 from filecensus.operators.secrets import flag_embedded_secrets
 from filecensus.session import work_dir
 
@@ -41,7 +41,8 @@ STAT = (
 )
 BATCH_ROWS = 5000
 CHUNK_BYTES = 65536
-HEADS_PER_BATCH = 256
+RANGE_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _list_folders(follow_symlinks: bool):
@@ -203,41 +204,73 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _read_heads(chars: int | None, database_bytes: int | None):
-    """Leading text and bytes of each file, opened once; unreadable files have neither."""
+def _read_chunks(chunk: int, overlap: int):
+    """Chunks of byte ranges of files, each with the beginning of the next; unreadable files have none.
 
-    def head(path: str, wants_text: bool, wants_bytes: bool) -> tuple[str | None, bytes | None]:
-        if not (wants_text or wants_bytes):
-            return None, None
+    Text drops bytes that are no UTF-8, also the rest of a character that a chunk's edge cuts: the
+    chunk beside it has that character whole.
+    """
+
+    def parts(path: str, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
         try:
             with open(path, "rb") as fh:
-                raw = fh.read(database_bytes) if wants_bytes else None
-                fh.seek(0)
-                decoded = io.TextIOWrapper(fh, encoding="utf-8", errors="ignore")
-                return decoded.read(chars) if wants_text else None, raw
+                at = start
+                while end is None or at < end:
+                    fh.seek(at)
+                    raw = fh.read(chunk + overlap)
+                    if raw or at == 0:
+                        yield at, raw
+                    if len(raw) < chunk + overlap:
+                        return  # this was the file's end
+                    at += chunk
         except OSError:
-            return None, None
+            return
+
+    def decoded(raw: bytes) -> str:
+        return raw.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), HEADS_PER_BATCH):
-                part = batch.iloc[at : at + HEADS_PER_BATCH]
-                wanted = zip(part["path"], part["needs_text"], part["needs_bytes"])
-                heads = [head(*w) for w in wanted]
-                yield part.assign(head=[h for h, _ in heads], head_bytes=[r for _, r in heads])
+            rows, held = [], 0
+            for path, wants_text, wants_bytes, start, end in batch.itertuples(index=False, name=None):
+                for at, raw in parts(path, start, None if pd.isna(end) else int(end)):
+                    rows.append((path, at, decoded(raw) if wants_text else None, raw if wants_bytes else None))
+                    held += len(raw)
+                    if held >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=["path", "start", "text", "raw"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "start", "text", "raw"])
 
     return run
 
 
-def add_heads(files: DataFrame, window: R.Window) -> DataFrame:
-    """``head`` and ``head_bytes`` of files that rules may look into.
+def content_facts(
+    files: DataFrame, rules: R.Rules, tasks: int, span: int = RANGE_BYTES, chunk: int = contents.CHUNK, overlap: int = contents.OVERLAP
+) -> DataFrame:
+    """What the content rules find in each file, read whole in chunks: ``path`` and ``contents.FACTS``.
 
-    Files whose name or extension settles everything, and binary kinds, are not opened.
+    ``files`` has path, total_bytes, needs_text and needs_bytes; files that need neither are not opened.
+    A long file is cut into ranges that different tasks read, so neither memory nor time of
+    a task grows with it.  Rules that look at a file's head only have its first chunk read.
     """
-    chars = [window.keyword_chars, window.yaml_chars, window.secret_chars]
-    longest = None if None in chars else max(chars)
-    schema = f"{_ddl(files)}, head string, head_bytes binary"
-    return files.mapInPandas(_read_heads(longest, window.database_bytes), schema)
+    window = rules.window
+    limits = [window.keyword_chars, window.yaml_chars, window.secret_chars, window.database_bytes]
+    wanted = files.filter("needs_text OR needs_bytes").select("path", "total_bytes", "needs_text", "needs_bytes")
+    if None in limits:
+        last = (F.greatest(F.coalesce("total_bytes", F.lit(0)) - 1, F.lit(0)) / span).cast("int")
+        number = F.explode(F.sequence(F.lit(0), last))
+        ranges = wanted.select("*", number.alias("n"), last.alias("last")).select(
+            "path", "needs_text", "needs_bytes", (F.col("n") * F.lit(span).cast("long")).alias("start"),
+            F.when(F.col("n") < F.col("last"), (F.col("n") + 1) * F.lit(span).cast("long")).alias("end"),
+        )
+    else:
+        chunk, overlap = max(4 * max(limits[:3]), limits[3]), 0  # a character has at most four bytes
+        ranges = wanted.select(
+            "path", "needs_text", "needs_bytes", F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end")
+        )
+    ranges = ranges.repartition(tasks, F.xxhash64("path", "start"))
+    chunks = ranges.mapInPandas(_read_chunks(chunk, overlap), "path string, start long, text string, raw binary")
+    return contents.facts(chunks, ["path"], rules)
 
 
 def _content_needs(files: DataFrame, rules: R.Rules) -> DataFrame:
@@ -296,10 +329,10 @@ def scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Classified inventory of a tree, and the errors met as ``(path, error)``.
 
-    The listing with its metadata is written once and read by all later passes.  Size and
+    Content rules see whole files, chunk by chunk, unless ``rules`` has a window (``FILE_HEADS``).  The listing with its metadata is written once and read by all later passes.  Size and
     category filters come before hashing, which does not change the result.
     """
-    rules = rules or R.Rules(window=R.FILE_HEADS)
+    rules = rules or R.Rules()
     tasks = tasks or spark.sparkContext.defaultParallelism * 4
     listed = list_tree(spark, root, options, tasks)
     table = work_dir(spark, "inventory")
@@ -313,11 +346,13 @@ def scan(
     walked = filters.walk(readable, options)
 
     files = filters.plain_files(walked).filter("is_file")
-    files = filters.at_least(files, options.min_size_bytes).drop("checkpoint", "total_bytes", "is_file")
-    headed = add_heads(_content_needs(files, rules), rules.window)
+    files = filters.at_least(files, options.min_size_bytes).drop("checkpoint", "is_file")
+    marked = _content_needs(files, rules)
+    known = lookup_join(marked, content_facts(marked, rules, tasks), ["path"], "left")
     siblings = readable.filter(~F.col("is_directory")).select("machine_id", "path", "filename")
-    classified = flag_embedded_secrets(C.classify(headed, rules, siblings), rules).drop(
-        "head", "head_bytes", "needs_text", "needs_bytes", "is_symlink"
+    classified = C.classify(known, rules, siblings, tests=contents.tests())
+    classified = flag_embedded_secrets(classified, rules, F.col("secret_text")).drop(
+        *contents.FACTS, "needs_text", "needs_bytes", "is_symlink", "total_bytes"
     )
     found = filters.in_categories(classified, list(options.categories))
     if options.compute_hashes:

@@ -52,7 +52,7 @@ def scan(spark, root, **options):
 
 
 DEFAULT = [
-    "app.py", "big.parquet", "conf/config.yaml", "conf/gguf.bin", "conf/rules_v2.txt", "conf/vec.db",
+    "app.py", "big.parquet", "conf/config.yaml", "conf/gguf.bin", "conf/late_rules.txt", "conf/rules_v2.txt", "conf/vec.db",
     "deep/er/still/m.onnx", "runs/checkpoint-10", "runs/epoch-1", "runs/step_5", "train.csv", "w.safetensors",
 ]
 
@@ -101,6 +101,51 @@ def test_errors_do_not_stop_a_scan(spark, tmp_path):
     assert rows == {} and errors[0].error.startswith("OS error scanning")
 
 
-def test_whole_files_can_be_searched(spark, root):
-    found, _ = filetree.scan(spark, root, rules=R.Rules(), tasks=4)
-    assert f"{root}/conf/late_rules.txt" in [r.path for r in found.collect()]
+def test_heads_can_be_enough(spark, root):
+    found, _ = filetree.scan(spark, root, rules=R.Rules(window=R.FILE_HEADS), tasks=4)
+    paths = [r.path[len(root) + 1 :] for r in found.collect()]
+    assert sorted(paths) == [p for p in DEFAULT if p != "conf/late_rules.txt"]
+
+
+def test_findings_far_into_long_files(spark, tmp_path):
+    """A secret across a chunk edge behind 10 MB, keywords in different chunks, characters cut by an edge."""
+    secret = b"API_KEY = 'abcdefghijklmnop1234'\n"
+    chunk = 1 << 20
+    (tmp_path / "late.py").write_bytes(b"#" * (11 * chunk - 12) + secret + b"x" * chunk)
+    (tmp_path / "clean.py").write_bytes(b"#" * (11 * chunk) + b"api_key = short\n")
+    (tmp_path / "long_rules.txt").write_bytes(b"You are one\n" + "é".encode() * (3 * chunk) + b"an assistant")
+    (tmp_path / "one_rule.txt").write_bytes(b"you are one\n" + "é".encode() * chunk + b"you are one")
+    (tmp_path / "far.db").write_bytes(b"SQLite format 3\0" + b"\xff" * (2 * chunk - 20) + b"EMBEDDING")
+    rows, _ = scan(spark, str(tmp_path))
+    assert rows["late.py"].risk_reason == R.EMBEDDED_SECRET_REASON and rows["clean.py"].risk_level == "none"
+    assert rows["long_rules.txt"].categories == ["agent", "document"] and "one_rule.txt" not in rows
+    assert rows["far.db"].categories == ["vector"]
+
+
+@pytest.mark.parametrize("span, chunk, overlap", [(64, 16, 40), (1 << 20, 100, 64), (10_000, 1000, 64)])
+def test_ranges_and_chunks_find_what_whole_files_hold(spark, tmp_path, span, chunk, overlap):
+    """Files cut into ranges and chunks at every place give the findings of the whole text."""
+    from filecensus.operators import classify as C
+    from filecensus.operators import contents
+    from filecensus.operators.secrets import any_rule
+
+    key = b"\xc3\xa9\xffpassword: hunter2hunter2\r\nEPOCHS"
+    for at in range(0, 90, 3):
+        (tmp_path / f"{at:02}.yaml").write_bytes("ü".encode() * at + key + b"-" * 70 + b"SQLite format 3 " * (at % 2) + b" lora")
+    (tmp_path / "empty.yaml").write_bytes(b"")
+    rules = R.Rules()
+    files = sorted(tmp_path.iterdir())
+    listed = spark.createDataFrame(
+        [(str(p), p.stat().st_size, True, True) for p in files] + [(str(tmp_path / "gone"), 5, True, True)],
+        "path string, total_bytes long, needs_text boolean, needs_bytes boolean",
+    )
+    found = filetree.content_facts(listed, rules, 4, span, chunk, overlap)
+    tests = {**contents.tests(), "secret": found["secret_text"]}
+    got = {r.path: r.asDict() for r in found.select("path", *[t.alias(n) for n, t in tests.items()]).collect()}
+    whole = spark.createDataFrame(
+        [(str(p), p.read_bytes().decode("utf-8", "ignore").replace("\r\n", "\n"), p.read_bytes()) for p in files],
+        "path string, head string, head_bytes binary",
+    )
+    wanted = {**C.head_tests(rules.window), "secret": any_rule(whole["head"], rules)}
+    want = {r.path: r.asDict() for r in whole.select("path", *[t.alias(n) for n, t in wanted.items()]).collect()}
+    assert got == want
