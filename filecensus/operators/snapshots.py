@@ -69,8 +69,10 @@ def diff_summary(changes: DataFrame, keys: list[str] = []) -> DataFrame:
     )
 
 
-def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report_id"]) -> DataFrame:
-    """Add the report before each report of the same machine and scan path.
+def with_previous(
+    reports: DataFrame, order: list[str] = ["received_at", "report_id"], also: list[str] = []
+) -> DataFrame:
+    """Add the report before each report of the same machine and scan path, and its columns ``also``.
 
     The sequence is cut by day: the predecessor is looked for within the day, and a day's
     first report takes the last one of the day before it.  So no window holds the whole
@@ -80,12 +82,12 @@ def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report
     path = F.when(F.col("machine_id") == "unknown", F.col("report_id")).otherwise(F.coalesce("scan_path", F.lit("")))
     dated = reports.withColumns({"_day": F.to_date("received_at"), "_path": path})
     sequence = ["machine_id", "_path"]
-    info = F.struct("report_id", "scan_time").alias("_info")
+    info = F.struct("report_id", "scan_time", *also).alias("_info")
     days = dated.groupBy(*sequence, "_day").agg(F.max_by(info, F.struct(*order)).alias("_last"))
     by_day = W.partitionBy(*sequence).orderBy("_day")
     days = days.withColumn("_before", F.lag("_last").over(by_day)).drop("_last")
     within = W.partitionBy(*sequence, "_day").orderBy(*order)
-    chained = dated.withColumn("_within", F.lag(F.struct("report_id", "scan_time")).over(within))
+    chained = dated.withColumn("_within", F.lag(F.struct("report_id", "scan_time", *also)).over(within))
     before = F.coalesce("_within", "_before")
     return (
         chained.join(days, [*sequence, "_day"], "left")
@@ -93,6 +95,7 @@ def with_previous(reports: DataFrame, order: list[str] = ["received_at", "report
             {
                 "previous_report_id": before["report_id"],
                 "previous_time": before["scan_time"],
+                **{f"previous_{c}": before[c] for c in also},
             }
         )
         .drop("_day", "_path", "_within", "_before")

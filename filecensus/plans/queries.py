@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -733,40 +733,52 @@ def ingest_receipts(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------------
 
 
-def feed(spark: SparkSession, sf_dir: str) -> str:
-    """Write the reports as a folder of JSON lines a stream can pick up."""
+def arrivals(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """A folder of JSON lines a stream can pick up, handed out after each arrival of reports.
+
+    The middle scans come late, after the last ones, and the first scans come again with them.
+    """
     files, reports, found = _changes(spark, sf_dir)
+    documents = stored(sink.report_parts(reports, files, found), "documents")
     path = work_dir(spark, "feed")
-    sink.report_parts(reports, files, found).write.json(path)
-    return path
+    middle = F.col("report_id").endswith("-1")
+    for arriving in (~middle, middle | F.col("report_id").endswith("-0")):
+        documents.filter(arriving).write.mode("append").json(path)
+        yield path
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> ingest.FleetStore:
+def ingested(spark: SparkSession, sf_dir: str) -> Iterator[ingest.FleetStore]:
+    """The fleet store after each arrival."""
     store = ingest.FleetStore(spark, work_dir(spark, "fleet"))
-    ingest.run_available(ingest.report_stream(spark, feed(spark, sf_dir)), store)
-    return store
+    for path in arrivals(spark, sf_dir):
+        ingest.run_available(ingest.report_stream(spark, path), store)
+        yield store
 
 
 @query(SCANS + _RECEIPTS)
 def stream_ingest(spark, sf_dir):
-    store = ingested(spark, sf_dir)
+    *_, store = ingested(spark, sf_dir)
     return fleet.receipts(store.read("reports"), store.read("alerts"), store.read("changes"))
 
 
 @query(SCANS + _NODES)
 def stream_nodes(spark, sf_dir):
-    return _node_view(ingest.running_nodes(spark, feed(spark, sf_dir)))
+    work = work_dir(spark, "stream-nodes")
+    *_, found = (ingest.running_nodes(spark, path, work) for path in arrivals(spark, sf_dir))
+    return _node_view(found)
 
 
 @query(SCANS + "SELECT severity, COUNT(*) AS n_alerts FROM alr GROUP BY severity")
 def stream_alert_counts(spark, sf_dir):
-    return ingest.running_alert_counts(spark, ingested(spark, sf_dir))
+    work = work_dir(spark, "stream-alerts")
+    *_, found = (ingest.running_alert_counts(spark, store, work) for store in ingested(spark, sf_dir))
+    return found
 
 
 @query(SCANS + f"SELECT * EXCLUDE (previous_hash, hostname) FROM ({_CHANGE_ROWS})")
 def stream_changes(spark, sf_dir):
-    rows = ingested(spark, sf_dir).read("computed_changes")
-    return rows.select(
+    *_, store = ingested(spark, sf_dir)
+    return store.read("computed_changes").select(
         "report_id", "machine_id", time_text("detected_at"), "change_type", "file_path", "filename"
     )
 

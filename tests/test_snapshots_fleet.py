@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -263,9 +264,79 @@ def test_stream_equals_batch_in_one_and_many_batches(spark, sequenced, reports,
     counts = ingest.running_alert_counts(spark, store).collect()
     assert {r.severity: r.n_alerts for r in counts} == {"critical": 3, "warning": 2}
 
-    batch = store.spark.read.schema(source.with_corrupt(schema.REPORT)).json(apart)
-    ingest.ingest_batch(store)(batch, 3)
+    replayed = ingest.incoming(source.read_reports(spark, apart, multi_line=False).drop("report_file")).filter("report_id IN ('a-2', 'b-1')")
+    ingest.ingest_batch(store)(replayed.dropDuplicates(ingest.KEY), 2)
     check_store(store, reports, files)
+    work = work_dir(spark, "counts")
+    for _ in range(2):
+        counts = ingest.running_alert_counts(spark, store, work).collect()
+        assert {r.severity: r.n_alerts for r in counts} == {"critical": 3, "warning": 2}
+
+
+def test_alerts_of_a_replayed_batch_are_counted_once(spark, sequenced, reports, files, changes):
+    """A batch that runs again after its counts were handed on, and a crash before its commit."""
+    documents = ingest.incoming(parts(sequenced, files, changes)).dropDuplicates(ingest.KEY)
+    store, work = ingest.FleetStore(spark, work_dir(spark, "store")), work_dir(spark, "counts")
+    batches = [documents.filter(F.col("report_id").isin("a-0", "b-0")), documents.filter(F.col("report_id").isin("a-1", "a-2", "b-1"))]
+    ingest.ingest_batch(store)(batches[0], 0)
+    first = sorted(ingest.running_alert_counts(spark, store, work).collect())
+    ingest.ingest_batch(store)(batches[0], 0)
+    assert sorted(ingest.running_alert_counts(spark, store, work).collect()) == first
+    commit, store.commit = store.commit, lambda batch_id: None
+    ingest.ingest_batch(store)(batches[1], 1)
+    assert sorted(ingest.running_alert_counts(spark, store, work).collect()) == first
+    store.commit = commit
+    for _ in range(2):
+        ingest.ingest_batch(store)(batches[1], 1)
+        counts = ingest.running_alert_counts(spark, store, work).collect()
+        assert {r.severity: r.n_alerts for r in counts} == {"critical": 3, "warning": 2}
+
+
+@pytest.mark.parametrize("order", [(2, 1, 0), (0, 2, 1)])
+def test_reports_out_of_order_are_linked_again(spark, sequenced, reports, files, changes, order):
+    """Whatever the order of arrival, with replays in every batch, changes and nodes are those of the whole."""
+    documents = parts(sequenced, files, changes).cache()
+    path, work = work_dir(spark, "feed"), work_dir(spark, "nodes")
+    store = ingest.FleetStore(spark, work_dir(spark, "store"), compact_every=2)
+    came = F.lit(False)
+    for scan in order:
+        now = F.col("report_id").endswith(f"-{scan}")
+        documents.filter(now | came).write.mode("append").json(path)
+        came = came | now
+        ingest.run_available(ingest.report_stream(spark, path), store)
+        nodes = ingest.running_nodes(spark, path, work)
+    check_store(store, reports, files)
+    assert sorted(map(tuple, nodes.collect()), key=repr) == sorted(
+        map(tuple, fleet.node_registry(sequenced.select(*reports.columns)).select(*nodes.columns).collect()), key=repr
+    )
+
+
+def test_a_batch_reads_no_history(spark):
+    """What a batch reads from the store stays the same while the store grows."""
+
+    class Counting(ingest.FleetStore):
+        read_files = 0
+
+        def of_batches(self, name, batches, like=None):
+            batches = list(batches)
+            found = super().of_batches(name, batches, like)
+            Counting.read_files += sum(os.path.getsize(f.removeprefix("file://")) for f in (found.inputFiles() if batches else []))
+            return found
+
+    store = Counting(spark, work_dir(spark, "store"), compact_every=2)
+    run, sizes = ingest.ingest_batch(store), []
+    for n in range(6):
+        rows = [
+            json.dumps({"system": {"machine_id": f"m{m}", "hostname": "h"}, "report_id": f"m{m}-{n}", "received_at": f"2026-01-01T0{n}:00:00Z",
+                        "scan_metadata": {"scan_path": "/x"}, "files": [{"path": f"/x/{k}", "filename": "k", "hash": f"{n}{k}"} for k in range(20)]})
+            for m in range(5)
+        ]
+        batch = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", source.with_corrupt(schema.REPORT)).alias("d")).select("d.*")
+        Counting.read_files = 0
+        run(ingest.incoming(batch).dropDuplicates(ingest.KEY), n)
+        sizes.append(Counting.read_files)
+    assert store.read("computed_changes").count() == 5 * 5 * 20
+    assert max(sizes[4:]) < 1.1 * max(sizes[2:4])
 
 
 def test_plain_documents_and_rejects(spark, tmp_path):
