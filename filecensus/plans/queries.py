@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from filecensus import schema
 from filecensus.functions import sizes, text
 from filecensus.operators import classify as C
-from filecensus.operators import filters, fleet, hashing, ordering, rollups, snapshots
+from filecensus.operators import contents, filters, fleet, hashing, ordering, rollups, snapshots
 from filecensus.operators import rules as R
 from filecensus.operators import secrets as S
+from filecensus.operators.lookup import lookup_join
 from filecensus.plans import demo, oracle
 from filecensus.session import work_dir
 from filecensus.sinks import reports as sink
@@ -327,6 +329,35 @@ def derived_columns(spark, sf_dir):
     )
 
 
+CHUNKED = ["categories", "rule", "risk_level", "risk_reason"]
+
+
+@query(INV + "SELECT machine_id, path, categories, rule, risk_level, risk_reason FROM files WHERE rule IS NOT NULL")
+def chunked_content(spark, sf_dir):
+    """Classification and secrets from chunks of the contents, as files of any length are read."""
+    rules = R.Rules()
+    files = filters.plain_files(filters.walk(demo.contents(spark, sf_dir)))
+    chunks = contents.text_chunks(files, FILE_KEYS, "head", "head_bytes", size=3000, overlap=1000)
+    known = lookup_join(files.drop("head", "head_bytes"), contents.facts(chunks, FILE_KEYS, rules), FILE_KEYS, "left")
+    rows = C.classify(known, rules, demo.listing(spark, sf_dir), tests=contents.tests())
+    rows = S.flag_embedded_secrets(rows, rules, F.col("secret_text"))
+    return rows.select(*FILE_KEYS, F.array_join("categories", "|").alias("categories"), *CHUNKED[1:])
+
+
+_CUT = "doc_id % 53 + 1"
+
+
+@query(
+    "SELECT doc_id, replace(replace(left(text, list_max(list_filter(range(0, 55), "
+    f"lambda m: strlen(left(text, m)) <= {_CUT}))), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS head FROM documents"
+)
+def lenient_decode(spark, sf_dir):
+    """Text of bytes that begin with invalid ones and end inside a character."""
+    raw = F.substr(F.encode("text", "UTF-8"), F.lit(1), F.expr(_CUT).cast("int"))
+    head = text.decode_ignoring_errors(F.concat(F.unhex(F.lit("FF80")), raw))
+    return demo.table(spark, sf_dir, "documents").select("doc_id", head.alias("head"))
+
+
 # --- hashing -------------------------------------------------------------------------------
 
 
@@ -651,6 +682,27 @@ def fleet_categories(spark, sf_dir):
     return fleet.fleet_categories(_reports(spark, sf_dir))
 
 
+NODE = "src7"
+_NODE_ID = f"substr(sha256(md5('{NODE}') || ':{NODE}'), 1, 16)"
+
+
+@query(
+    SCANS + "SELECT n.machine_id, l.hostname, n.report_count, strftime(n.last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, "
+    "l.total_files AS latest_files, l.report_id, l.scan_time, c.category, c.n_files FROM "
+    "(SELECT machine_id, MAX(received_at) AS last_seen, COUNT(*) AS report_count FROM rep GROUP BY machine_id) n "
+    f"JOIN lat l USING (machine_id) JOIN rep_cat c ON l.report_id = c.report_id WHERE n.machine_id = {_NODE_ID}"
+)
+def node_detail(spark, sf_dir):
+    """One node with its newest report."""
+    digest = hashlib.md5(NODE.encode()).hexdigest()
+    ident = hashlib.sha256(f"{digest}:{NODE}".encode()).hexdigest()[:16]
+    found = fleet.node_with_latest_report(_reports(spark, sf_dir), ident)
+    return found.select(
+        "machine_id", "hostname", "report_count", time_text("last_seen"), "latest_files", "report_id", "scan_time",
+        F.explode("by_category").alias("category", "t"),
+    ).withColumn("n_files", F.col("t.count")).drop("t")
+
+
 ALERT_COLUMNS = ["report_id", "machine_id", "created_at", "alert_type", "severity", "message", "n_files", "acknowledged"]
 
 
@@ -818,3 +870,70 @@ def json_report(spark, sf_dir):
         "path", "extension", "category", F.array_join("categories", "|").alias("categories"), "size_bytes",
         "size_human", "risk_level", "risk_reason", "owner", "permissions", "permission_alert", "modified_timestamp",
     )
+
+
+@query(
+    INV + f"""SELECT path, filename, COALESCE(extension, '') AS extension, category, categories, CAST(size_bytes AS BIGINT) AS size_bytes,
+    'file' AS type, detection_method, confidence, risk_level FROM files WHERE rule IS NOT NULL"""
+)
+def csv_report_plain(spark, sf_dir):
+    """The CSV report of a scan without permissions and hashes: it has no such columns."""
+    rows = demo.classified(spark, sf_dir).drop("head", "head_bytes", *sink.OWNER_COLUMNS, *sink.ALERT_COLUMNS)
+    path = work_dir(spark, "csv")
+    sink.write_csv(stored(rows, "rows"), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    if back.columns != sink.CSV_COLUMNS:
+        raise ValueError(f"unexpected columns {back.columns}")
+    blank = F.coalesce("extension", F.lit("")).alias("extension")
+    return back.select(
+        "path", "filename", blank, "category", "categories", F.col("size_bytes").cast("long").alias("size_bytes"), "type",
+        "detection_method", "confidence", "risk_level",
+    )
+
+
+_SCAN_FILES = (
+    "sized AS (SELECT machine_id, size_bytes, COALESCE(NULLIF(extension, ''), '[dir]') AS ext, categories FROM files WHERE rule IS NOT NULL), "
+    "scan_sizes AS (SELECT machine_id, COUNT(*) AS n, CAST(SUM(size_bytes) AS BIGINT) AS s FROM sized GROUP BY 1), "
+    "parts AS (SELECT machine_id, 'extension' AS kind, ext AS name, COUNT(*) AS n_files, CAST(SUM(size_bytes) AS BIGINT) AS total_size "
+    "FROM sized GROUP BY ALL UNION ALL SELECT machine_id, 'category', name, COUNT(*), CAST(SUM(size_bytes) AS BIGINT) FROM "
+    "(SELECT machine_id, size_bytes, unnest(string_split(categories, '|')) AS name FROM sized) GROUP BY ALL)"
+)
+
+
+@query(
+    INV + f", {_SCAN_FILES} SELECT machine_id, kind, name, n_files, total_size, {oracle.size_text('total_size')} AS size_human, "
+    f"n AS scan_files, {oracle.size_text('s')} AS scan_size, round_even(CAST(n AS DOUBLE) / 8, 2) AS seconds, 'two' AS last_error "
+    "FROM parts JOIN scan_sizes USING (machine_id)"
+)
+def json_report_metadata(spark, sf_dir):
+    """Metadata and extension totals of a JSON report, written and read back."""
+    rows, keys = stored(demo.classified(spark, sf_dir).drop("head", "head_bytes"), "rows"), ["machine_id", "scan_path"]
+    path = work_dir(spark, "json")
+    said = {"scan_duration": F.col("total_files") / 8, "scan_time": "2026-01-01T00:00:00", "errors": ["one", "two"]}
+    sink.write_json_report(rows, keys, path, {"hostname": "node"}, said)
+    _, metadata, extensions = source.read_json_report(spark, path, keys)
+    whole = metadata.select(
+        "machine_id", F.col("total_files").alias("scan_files"), F.col("total_size_human").alias("scan_size"),
+        F.col("scan_duration_seconds").alias("seconds"), F.element_at("errors", -1).alias("last_error"), "by_category",
+    )
+    shown = ["kind", "name", "n_files", "total_size", "size_human"]
+    by_category = whole.select("machine_id", F.explode("by_category").alias("name", "t")).select(
+        "machine_id", F.lit("category").alias("kind"), "name", F.col("t.count").alias("n_files"),
+        F.col("t.size").alias("total_size"), F.col("t.size_human").alias("size_human"),
+    )
+    by_extension = extensions.withColumnsRenamed({"extension": "name"}).withColumn("kind", F.lit("extension"))
+    parts = by_category.unionByName(by_extension.select("machine_id", *shown))
+    return lookup_join(parts, whole.drop("by_category"), ["machine_id"], "inner")
+
+
+@query(
+    SCANS + "SELECT report_id, path, category, CAST(size_bytes AS BIGINT) AS size_bytes, hash FROM sf WHERE report_id = "
+    "(SELECT report_id FROM rep ORDER BY received_at DESC, machine_id DESC LIMIT 1)"
+)
+def newest_report_files(spark, sf_dir):
+    """Files of the newest report in a folder of report documents, found by name."""
+    files, reports = _sequenced(spark, sf_dir)
+    folder = work_dir(spark, "report-documents")
+    sink.write_named_reports(sink.report_parts(reports, files), folder)
+    documents = source.read_reports(spark, source.newest_report(spark, folder))
+    return source.report_files(source.identified(documents)).select("report_id", "path", "category", "size_bytes", "hash")

@@ -39,6 +39,20 @@ SCAN_METADATA = T.StructType(
     ]
 )
 
+JSON_METADATA = T.StructType(
+    [T.StructField("total_files", T.LongType()), T.StructField("total_size", T.LongType()), T.StructField("by_category", TOTALS)]
+    + _strings("total_size_human", "scan_time", "exported_at")
+    + [
+        T.StructField("system", SYSTEM),
+        T.StructField("scan_duration_seconds", T.DoubleType()),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+    ]
+)
+
+EXTENSION_TOTALS = T.StructType(
+    _strings("extension") + [T.StructField("n_files", T.LongType()), T.StructField("total_size", T.LongType())] + _strings("size_human")
+)
+
 REPORT_FILE = T.StructType(
     _strings("path", "filename", "extension", "category")
     + [

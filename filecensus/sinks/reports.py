@@ -91,22 +91,36 @@ def write_json_report(files: DataFrame, keys: list[str], path: str, system: dict
     """Report of any size: ``files`` as JSON lines, ``metadata`` and ``extensions`` beside it.
 
     ``system`` (host, versions, ...) and ``scan`` (scan_time, scan_duration, errors) are said of
-    every scan in ``metadata``.
+    every scan in ``metadata``; the duration may be a column of the metadata row.
     """
     said = scan or {}
+    duration = said.get("scan_duration", 0.0)
+    duration = duration if isinstance(duration, Column) else F.lit(float(duration))
     json_files(files).write.json(f"{path}/files")
     scan_metadata(files, keys).withColumns(
         {
             "system": F.struct(*[F.lit(v).alias(k) for k, v in (system or {"hostname": None}).items()]),
             "scan_time": F.lit(said.get("scan_time")).cast("string"),
             "exported_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-            "scan_duration_seconds": sizes.round_half_even(F.lit(float(said.get("scan_duration", 0.0))), 2),
+            "scan_duration_seconds": sizes.round_half_even(duration, 2),
             "errors": F.array(*map(F.lit, said.get("errors", []))).cast("array<string>"),
         }
     ).write.json(f"{path}/metadata")
     rollups.with_size_text(rollups.by_extension(files, keys)).write.json(f"{path}/extensions")
 
 
+def write_named_reports(documents: DataFrame, folder: str) -> None:
+    """Write report documents (of ``report_parts``) one by one, each in a folder named by time, machine and part.
+
+    The documents are indented JSON over several lines, as a single machine would save them.
+    """
+    machine = F.coalesce(F.col("system.machine_id"), F.lit("unknown"))
+    time = F.date_format("received_at", "yyyyMMdd_HHmmss")
+    name = F.format_string("scan_%s_%s-%06d.json", time, machine, "part_no")
+    text = F.to_json(F.struct(*documents.columns), {"pretty": "true"})
+    documents.select(text.alias("value"), name.alias("report_file")).write.partitionBy("report_file").text(folder)
+
+
 def report_parts(
     reports: DataFrame,
     files: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from filecensus import schema
 
 
-def read_reports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_reports(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Report documents, one row each, with the name of their file.
 
     Reports of one machine are JSON documents over several lines; report parts written by
@@ -32,6 +32,30 @@ def latest_report_file(documents: DataFrame, prefix: str = "scan_") -> DataFrame
     return names.agg(F.max("report_file").alias("report_file"))
 
 
+def newest_report(spark: SparkSession, folder: str, prefix: str = "scan_") -> list[str]:
+    """Paths of the newest report in a folder: of its documents, those with the greatest time-stamped name.
+
+    A document is a file ``scan_<time>...json`` or a folder of that name with a file inside, as Spark writes it; parts of one
+    report end in ``-<six digits>.json``.  Only names are listed, no document is opened, and what the driver gets are
+    the parts of one report.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.regexp_extract("path", rf"/(?:report_file=)?({prefix}[^/]*\.json)(?:/[^/]*)?$", 1)
+    stem = F.regexp_replace(name, r"-\d{6}\.json$", ".json")
+    reports = listed.select("path", stem.alias("stem")).filter("stem <> ''")
+    newest = reports.agg(F.max("stem").alias("stem"))
+    return sorted(r["path"] for r in reports.join(newest, "stem").collect())
+
+
+def read_json_report(spark: SparkSession, path: str, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, metadata and extension totals of a JSON report, with the maps of totals as maps."""
+    named = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    extension = T.StructType([*named.fields, *schema.EXTENSION_TOTALS.fields])
+    metadata = T.StructType([*named.fields, *schema.JSON_METADATA.fields])
+    read = lambda struct, part: spark.read.schema(struct).json(f"{path}/{part}")
+    return read(schema.REPORT_FILE, "files"), read(metadata, "metadata"), read(extension, "extensions")
+
+
 def is_valid() -> Column:
     """A report has some field of scan metadata, or files."""
     said = F.coalesce(F.to_json("scan_metadata"), F.lit("{}")) != "{}"

@@ -360,3 +360,18 @@ def test_plain_documents_and_rejects(spark, tmp_path):
     assert {(r.machine_id, r.alerts_generated, r.changes_detected) for r in receipts} == {("m1", 1, 1), ("unknown", 0, 0)}
     documents = source.read_reports(spark, str(tmp_path))
     assert source.latest_report_file(documents).first().report_file == "scan_4.json"
+
+
+def test_newest_report_is_found_by_name(spark, tmp_path):
+    """Older documents are never opened, parts belong together, other files are no reports."""
+    for name in ("scan_20260101_000000.json", "scan_20260102_000000.json", "other_20270101.json", "scan_20280101.txt"):
+        (tmp_path / name).write_text("not json at all")
+    for part in range(2):
+        (tmp_path / f"scan_20260103_000000-{part:06}.json").write_text(json.dumps({"files": [{"path": f"/{part}"}]}, indent=1))
+    paths = source.newest_report(spark, str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["scan_20260103_000000-000000.json", "scan_20260103_000000-000001.json"]
+    files = source.report_files(source.identified(source.read_reports(spark, paths)))
+    assert sorted(r.path for r in files.collect()) == ["/0", "/1"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "readme.md").write_text("x")
+    assert source.newest_report(spark, str(tmp_path / "none")) == []
