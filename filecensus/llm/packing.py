@@ -34,15 +34,16 @@ ROUND_CELLS = 1 << 20
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """(doc_id, source, ids, n, part, before) of every row: its ids with the end, as little-endian bytes of 32 bits.
+    """(doc_id, source, ids, n, part, before) of every row: its ids with the end, as little-endian numbers.
 
-    ``before`` counts the ids of the same source earlier in the task ``part``.  A null text has the end alone.
+    An id has 16 bits if the whole vocabulary fits in them, else 32.  ``before`` counts the ids of the same source earlier in the task ``part``.  A null text has the end alone.
     """
     path = tokens.tokenizer_path(vocabulary)
+    kind = _id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        known = tokens.SliceIds(tokens.library_encoder(path, plain_specials=False))
+        known = tokens.SliceIds(tokens.word_encoder(path))
         sent: dict[str | None, int] = {}
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
@@ -50,13 +51,13 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Da
                 ids, counts = known.ids(known.lookup(block, found, _hashes(block, found)))
                 n = tokens.per_row(counts, found.bounds)
                 at = np.cumsum(n)  # where each row's end goes
-                whole = np.insert(ids, at, end).astype("<u4")
+                whole = np.insert(ids, at, end).astype(kind)
                 sources = batch.column(2).slice(block.first, block.rows)
                 before = np.empty(block.rows, np.int64)
                 for r, (source, size) in enumerate(zip(sources.to_pylist(), (n + 1).tolist())):
                     before[r] = sent.get(source, 0)
                     sent[source] = sent.get(source, 0) + size
-                bounds = np.concatenate(([0], np.cumsum(n + 1))) * 4
+                bounds = np.concatenate(([0], np.cumsum(n + 1))) * np.dtype(kind).itemsize
                 binary = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), block.rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())]
                 ).cast(pa.binary())
@@ -72,6 +73,10 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Da
     )
 
 
+def _id_type(path: str) -> str:
+    return "<u2" if tokens.library_tokenizer(path, plain_specials=False).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _hashes(block: kernel.Block, found: tokens.Slices) -> np.ndarray:
     """Slice hashes blind to the case of A-Z, which this vocabulary lowers, but for slices with ``<``."""
     hashes = kernel.slice_hash(kernel.prefix_sums(block.data), found.starts, found.ends)
@@ -210,28 +215,27 @@ def pack(
     shared = docs.sparkSession.sparkContext.broadcast(([r["n"] for r in sizes], shares, width, named))
     own = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {own}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
-    return queue.mapInArrow(_pieces(shared), schema)
+    return queue.mapInArrow(_pieces(shared, _id_type(tokens.tokenizer_path(vocabulary))), schema)
 
 
-def _pieces(shared):
+def _pieces(shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, weights, width, named = shared.value
         rounds = Rounds(np.array(sizes, np.int64), np.array(weights), width) if sizes else None
         for batch in batches:
-            for block in kernel.blocks(batch.column(2), 4 * kernel.BLOCK):
+            for block in kernel.blocks(batch.column(2)):
                 rows = slice(block.first, block.first + block.rows)
                 doc_ids, names = batch.column(0)[rows], batch.column(1)[rows]
                 n, low = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in (3, 4))
                 source = np.fromiter((named[s] for s in names.to_pylist()), np.int64, block.rows)
                 row, start, length, sequence, offset = _stretches(rounds, source, low, n)
-                begin = block.offsets[row] + 4 * start
+                begin = block.offsets[row] // np.dtype(kind).itemsize + start
+                ids = block.data.view(kind).astype("<u4")
                 # pieces stand in the order of their rows, so their ids are the block's bytes, cut anew
                 order = np.lexsort((start, row))
                 row, start, length, sequence, offset, begin = (x[order] for x in (row, start, length, sequence, offset, begin))
-                bounds = np.append(begin, len(block.data)).astype(np.int32)
-                ids = pa.BinaryArray.from_buffers(
-                    pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(block.data.tobytes())]
-                )
+                bounds = (np.append(begin, len(ids)) * 4).astype(np.int32)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids.tobytes())])
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.take(at), names.take(at), *map(pa.array, (start, length)), ids, *map(pa.array, (n[row], sequence, offset))],

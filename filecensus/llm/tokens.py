@@ -7,6 +7,7 @@ the ids of its slices in order.  Slices repeat, so a task remembers their ids up
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -51,6 +52,49 @@ def library_encoder(path: str, plain_specials: bool) -> Callable[[list[str]], li
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+#: Words that are encoded in one text, and what they consist of.
+JOINED = 1000
+LATIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def word_encoder(path: str, word_end: str = "</w>") -> Callable[[list[str]], list[list[int]]]:
+    """As ``library_encoder`` for a vocabulary of lower-case words that marks word ends.
+
+    Its normalizer and pattern do no more to a word of Latin-1 letters than to lower them, so such words go
+    to the model directly, many in one text: each ends with an id whose entry has the mark.
+    """
+    tokenizer = library_tokenizer(path, plain_specials=False)
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    entries = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(entries.values()) + 1, dtype=bool)
+    ends[[i for entry, i in entries.items() if entry.endswith(word_end)]] = True
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(texts)
+        is_plain = [LATIN_WORD.fullmatch(t) is not None for t in texts]
+        plain = [k for k, p in enumerate(is_plain) if p]
+        other = [k for k, p in enumerate(is_plain) if not p]
+        parts = [plain[low : low + JOINED] for low in range(0, len(plain), JOINED)]
+        joined = [" ".join([texts[k] for k in part]).lower() for part in parts]
+        for part, found in zip(parts, model.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = found.ids
+            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not end every word with the mark")
+            for k, low, high in zip(part, [0, *cuts], cuts):
+                out[k] = ids[low:high]
+        for k, found in zip(other, tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
+
+    return encode
+
+
 class Slices(NamedTuple):
     """Slice i is data[starts[i]:ends[i]]; row r has the slices bounds[r] to bounds[r + 1] - 1."""
 

@@ -141,8 +141,7 @@ def checked_pieces(pieces, width):
 
 
 def test_words_cut_for_the_cache_keep_their_ids(texts):
-    encode = tokens.library_encoder(tokens.tokenizer_path(packing.VOCABULARY), False)
-    known = tokens.SliceIds(encode)
+    known = tokens.SliceIds(tokens.word_encoder(tokens.tokenizer_path(packing.VOCABULARY)))
     for block in kernel.blocks(pa.array(texts), 3000):
         found = tokens.between_spaces(block)
         ids, counts = known.ids(known.lookup(block, found, packing._hashes(block, found)))
