@@ -2,8 +2,9 @@
 
 Listing goes level by level: one Spark job lists all folders of a level, spread over the
 tasks one by one, and writes the level as a table.  A huge subtree is thus split again at
-every level instead of being one task, and nothing but the loop runs on the driver.
-Metadata, heads and hashes are read in later passes spread over files, not folders.
+every level instead of being one task, a folder with very many entries is dealt in shares to several
+tasks, and nothing but the loop runs on the driver.  Sizes and times are read in a later pass spread
+over files; hashes, modes and owners are columns that are worked out only where they are asked for.
 All executors must see the tree under the same path.
 """
 
@@ -11,11 +12,13 @@ from __future__ import annotations
 
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filecensus.functions import paths, text
 from filecensus.operators import classify as C
@@ -32,51 +35,75 @@ except ImportError:
     grp = pwd = None
 
 ENTRY = (
-    "path string, filename string, is_directory boolean, is_symlink boolean, is_file boolean, "
-    "error string"
+    "path string, filename string, is_directory boolean, is_symlink boolean, is_file boolean, error string, "
+    "shares int, above array<string>, leads_back boolean"
 )
 STAT = (
-    "size_bytes bigint, total_bytes bigint, modified_timestamp double, mode int, owner string, "
-    "`group` string, stat_error string"
+    "size_bytes bigint, total_bytes bigint, modified_timestamp double, target_is_directory boolean, stat_error string"
 )
+ACCESS = T.StructType(
+    [T.StructField("mode", T.IntegerType()), T.StructField("owner", T.StringType()), T.StructField("group", T.StringType())]
+)
+#: Bytes of a folder's own entry list per share of its listing, some ten thousand names.
+SHARE_BYTES = 1 << 20
 BATCH_ROWS = 5000
 CHUNK_BYTES = 65536
 RANGE_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 
 
-def _list_folders(follow_symlinks: bool):
-    """Entries of each folder from one ``scandir``, handed on in batches."""
+def _identity(found: os.stat_result) -> str:
+    return f"{found.st_dev}:{found.st_ino}"
+
+
+def _list_folders(follow_symlinks: bool, share_bytes: int):
+    """Entries of each folder, or of one share of them, handed on in batches.
+
+    ``shares`` says into how many shares the listing of a folder found here is to be dealt.  With links
+    followed, ``above`` are the identities (device, inode) of the folders a folder was reached through, and
+    ``leads_back`` marks a folder that is one of them.
+    """
+
+    def described(entry: os.DirEntry, above: list[str]) -> tuple:
+        folder, linked = entry.is_dir(follow_symlinks=follow_symlinks), entry.is_symlink()
+        shares, leads_back = 1, False
+        if folder:
+            own = entry.stat(follow_symlinks=follow_symlinks or not linked)
+            shares = -(-own.st_size // share_bytes) or 1
+            leads_back = follow_symlinks and _identity(own) in above
+        is_file = entry.is_file(follow_symlinks=follow_symlinks)
+        return entry.path, entry.name, folder, linked, is_file, None, shares, above if folder else None, leads_back
 
-    def entries(folder: str) -> Iterator[tuple]:
+    def failed(path: str, message: str) -> tuple:
+        return path, None, False, False, False, f"{message}", 1, None, False
+
+    def entries(folder: str, share: int, shares: int, above: list[str]) -> Iterator[tuple]:
         try:
+            through = [*above, _identity(os.stat(folder))] if follow_symlinks else []
             with os.scandir(folder) as found:
                 for entry in found:
+                    if shares > 1 and zlib.crc32(os.fsencode(entry.name)) % shares != share:
+                        continue
                     try:
-                        yield (
-                            entry.path,
-                            entry.name,
-                            entry.is_dir(follow_symlinks=follow_symlinks),
-                            entry.is_symlink(),
-                            entry.is_file(follow_symlinks=follow_symlinks),
-                            None,
-                        )
+                        yield described(entry, through)
                     except PermissionError:
-                        yield (entry.path, None, False, False, False, f"Permission denied: {entry.path}")
+                        yield failed(entry.path, f"Permission denied: {entry.path}")
                     except OSError as err:
-                        yield (entry.path, None, False, False, False, f"Error accessing {entry.path}: {err}")
+                        yield failed(entry.path, f"Error accessing {entry.path}: {err}")
         except PermissionError:
-            yield (folder, None, False, False, False, f"Permission denied: {folder}")
+            if share == 0:
+                yield failed(folder, f"Permission denied: {folder}")
         except OSError as err:
-            yield (folder, None, False, False, False, f"OS error scanning {folder}: {err}")
+            if share == 0:
+                yield failed(folder, f"OS error scanning {folder}: {err}")
 
     columns = [c.split()[0] for c in ENTRY.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for batch in batches:
-            for folder in batch["path"]:
-                for row in entries(folder):
+            for folder, share, shares, above in zip(batch["path"], batch["share"], batch["shares"], batch["above"]):
+                for row in entries(folder, share, shares, list(above)):
                     rows.append(row)
                     if len(rows) >= BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)
@@ -104,73 +131,47 @@ def _descend(options: filters.ScanOptions, below_checkpoint: Column) -> Column:
     return F.col("is_directory") & (inside | outside)
 
 
-def list_tree(spark: SparkSession, root: str, options: filters.ScanOptions = filters.ScanOptions(), tasks: int | None = None) -> DataFrame:
+def list_tree(
+    spark: SparkSession, root: str, options: filters.ScanOptions = filters.ScanOptions(), tasks: int | None = None,
+    share_bytes: int = SHARE_BYTES,
+) -> DataFrame:
     """All entries below ``root`` the scan may need, with errors as rows of their own.
 
-    With ``follow_symlinks`` a linked folder is entered wherever a link stands, unless it is
-    one of the folders the link is in, so link cycles end and nothing else is left out.
+    With ``follow_symlinks`` a linked folder is entered wherever a link stands, unless it is one of the folders it was
+    reached through (by device and inode), so link cycles end and nothing else is left out.  A folder whose own
+    size says that it has very many entries is listed by several tasks, each keeping its share of the names; so is the root.
     """
     tasks = tasks or spark.sparkContext.defaultParallelism * 4
     table = work_dir(spark, "listing")
     root = root.rstrip("/") or "/"
-    frontier = spark.createDataFrame([(root,)], "path string")
+    frontier = spark.createDataFrame([(root, tasks, [])], "path string, shares int, above array<string>")
     level = 0
     while True:
-        entries = frontier.repartition(tasks, F.xxhash64("path")).mapInPandas(
-            _list_folders(options.follow_symlinks), ENTRY
+        dealt = frontier.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        entries = dealt.repartition(tasks, F.xxhash64("path", "share")).mapInPandas(
+            _list_folders(options.follow_symlinks, share_bytes), ENTRY
         )
         placed = entries.withColumn("relpath", paths.relative(F.col("path"), F.lit(root)))
         checkpoint = filters.checkpoint_folder(F.col("relpath"), F.col("is_directory"))
         placed = placed.withColumn("checkpoint", F.when(F.col("error").isNull(), checkpoint))
-        descend = _descend(options, F.col("checkpoint").isNotNull())
+        descend = _descend(options, F.col("checkpoint").isNotNull()) & ~F.col("leads_back")
         placed = placed.withColumn("descend", F.coalesce(descend, F.lit(False)) & F.col("error").isNull())
-        if options.follow_symlinks:
-            placed = placed.withColumn("descend", _leads_on(root)(F.col("path"), F.col("descend")))
         placed.write.mode("overwrite").parquet(f"{table}/level={level}")
         frontier = spark.read.parquet(f"{table}/level={level}").filter("descend")
         if frontier.isEmpty():
             break
-        frontier = frontier.select("path")
+        frontier = frontier.select("path", "shares", "above")
         level += 1
     return (
         spark.read.option("basePath", table)
         .parquet(table)
-        .drop("relpath", "checkpoint", "descend", "level")
+        .drop("relpath", "checkpoint", "descend", "level", "shares", "above", "leads_back")
         .withColumn("scan_path", F.lit(root))
     )
 
 
-def _leads_on(root: str):
-    """Whether a wanted folder is none of the folders it is reached through."""
-
-    @F.pandas_udf("boolean")
-    def leads_on(path: pd.Series, wanted: pd.Series) -> pd.Series:
-        def is_new(folder: str) -> bool:
-            real, above = os.path.realpath(folder), os.path.dirname(folder)
-            while len(above) >= len(root):
-                if os.path.realpath(above) == real:
-                    return False
-                if above == os.path.dirname(above):
-                    break
-                above = os.path.dirname(above)
-            return True
-
-        return pd.Series([bool(w) and is_new(p) for p, w in zip(path, wanted)])
-
-    return leads_on
-
-
-def _names(get, attribute: str, ident: int) -> str:
-    try:
-        return getattr(get(ident), attribute) if get else str(ident)
-    except KeyError:
-        return str(ident)
-
-
 def _stat_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Size and time of the entry itself; mode and owner of what it points to."""
-    owner = pwd.getpwuid if pwd else None
-    group = grp.getgrgid if grp else None
+    """Size and time of the entry itself, and what a link points to."""
     for batch in batches:
         rows = []
         for path in batch["path"]:
@@ -178,24 +179,23 @@ def _stat_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = os.lstat(path)
             except OSError as err:
                 kind = "Permission denied" if isinstance(err, PermissionError) else "Error accessing"
-                rows.append((None, None, None, None, None, None, f"{kind}: {path}"))
+                rows.append((None, None, None, None, f"{kind}: {path}"))
                 continue
             try:
-                target = os.stat(path)
+                target = os.stat(path) if stat.S_ISLNK(own.st_mode) else own
             except OSError:
-                rows.append((own.st_size, 0, own.st_mtime, None, None, None, None))
+                rows.append((own.st_size, 0, own.st_mtime, None, None))
                 continue
-            names = _names(owner, "pw_name", target.st_uid), _names(group, "gr_name", target.st_gid)
-            rows.append((own.st_size, target.st_size, own.st_mtime, target.st_mode, *names, None))
-        columns = ["size_bytes", "total_bytes", "modified_timestamp", "mode", "owner", "group", "stat_error"]
+            rows.append((own.st_size, target.st_size, own.st_mtime, stat.S_ISDIR(target.st_mode), None))
+        columns = ["size_bytes", "total_bytes", "modified_timestamp", "target_is_directory", "stat_error"]
         stats = pd.DataFrame(rows, columns=columns, index=batch.index)
-        for column in ("size_bytes", "total_bytes", "mode"):
+        for column in ("size_bytes", "total_bytes"):
             stats[column] = stats[column].astype("Int64")
         yield pd.concat([batch, stats], axis=1)
 
 
 def add_stat(entries: DataFrame) -> DataFrame:
-    """Size, time, mode and owner, read in parallel over entries."""
+    """Size and time, read in parallel over entries; ``target_is_directory`` is NULL for a broken link."""
     schema = f"{_ddl(entries)}, {STAT}"
     return entries.mapInPandas(_stat_rows, schema)
 
@@ -295,25 +295,57 @@ def _content_needs(files: DataFrame, rules: R.Rules) -> DataFrame:
     return marked.select(*files.columns, "needs_text", "needs_bytes")
 
 
-def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def chunks(path: str) -> Iterator[bytes]:
-        with open(path, "rb") as fh:
+@F.pandas_udf(T.StringType())
+def file_hash(path: pd.Series) -> pd.Series:
+    """SHA-256 of file bytes, streamed in chunks; NULL for unreadable files."""
+
+    def chunks(name: str) -> Iterator[bytes]:
+        with open(name, "rb") as fh:
             while chunk := fh.read(CHUNK_BYTES):
                 yield chunk
 
-    def digest(path: str) -> str | None:
+    def digest(name: str) -> str | None:
         try:
-            return hashing.bytes_hash(chunks(path))
+            return hashing.bytes_hash(chunks(name))
         except OSError:
             return None
 
-    for batch in batches:
-        yield batch.assign(hash=[digest(p) for p in batch["path"]])
+    return path.map(digest)
+
+
+@F.pandas_udf(ACCESS)
+def file_access(path: pd.Series) -> pd.DataFrame:
+    """Mode, owner and group of what a path points to; NULL if it points nowhere."""
+
+    def named(get, attribute: str, ident: int) -> str:
+        try:
+            return getattr(get(ident), attribute)
+        except KeyError:
+            return str(ident)
+
+    def access(name: str) -> tuple:
+        try:
+            found = os.stat(name)
+        except OSError:
+            return None, None, None
+        if pwd is None:
+            return found.st_mode, str(found.st_uid), str(found.st_gid)
+        return found.st_mode, named(pwd.getpwuid, "pw_name", found.st_uid), named(grp.getgrgid, "gr_name", found.st_gid)
+
+    rows = pd.DataFrame([access(p) for p in path], columns=["mode", "owner", "group"])
+    rows["mode"] = rows["mode"].astype("Int64")
+    return rows
 
 
 def add_file_hashes(files: DataFrame) -> DataFrame:
-    """SHA-256 of file bytes, streamed in chunks; NULL for unreadable files."""
-    return files.mapInPandas(_hash_rows, f"{_ddl(files)}, hash string")
+    """``hash`` of each file.  A file is opened only if the column is used."""
+    return files.withColumn("hash", file_hash("path"))
+
+
+def add_access(files: DataFrame) -> DataFrame:
+    """``mode``, ``owner`` and ``group`` of each entry, looked up only if one of them is used."""
+    found = files.withColumn("_access", file_access("path"))
+    return found.withColumns({c: F.col("_access")[c] for c in ("mode", "owner", "group")}).drop("_access")
 
 
 KEYS = ["machine_id", "scan_path"]
@@ -329,7 +361,8 @@ def scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Classified inventory of a tree, and the errors met as ``(path, error)``.
 
-    Content rules see whole files, chunk by chunk, unless ``rules`` has a window (``FILE_HEADS``).  The listing with its metadata is written once and read by all later passes.  Size and
+    Content rules see whole files, chunk by chunk, unless ``rules`` has a window (``FILE_HEADS``).  With ``compute_hashes`` and
+    ``compute_permissions`` the inventory has those columns, and a query that does not use them opens no file for them.  The listing with its metadata is written once and read by all later passes.  Size and
     category filters come before hashing, which does not change the result.
     """
     rules = rules or R.Rules()
@@ -352,7 +385,7 @@ def scan(
     siblings = readable.filter(~F.col("is_directory")).select("machine_id", "path", "filename")
     classified = C.classify(known, rules, siblings, tests=contents.tests())
     classified = flag_embedded_secrets(classified, rules, F.col("secret_text")).drop(
-        *contents.FACTS, "needs_text", "needs_bytes", "is_symlink", "total_bytes"
+        *contents.FACTS, "needs_text", "needs_bytes", "is_symlink", "total_bytes", "target_is_directory"
     )
     found = filters.in_categories(classified, list(options.categories))
     if options.compute_hashes:
@@ -362,9 +395,7 @@ def scan(
         "size_bytes", F.coalesce("total_bytes", "size_bytes")
     )
     # Broken links inside a checkpoint folder have no size; links to folders count neither.
-    below = below.filter(F.col("is_directory") | F.col("mode").isNotNull())
-    linked_folder = F.col("mode").bitwiseAND(F.lit(stat.S_IFDIR | 0o100000)) == stat.S_IFDIR
-    below = below.filter(F.col("is_directory") | ~linked_folder)
+    below = below.filter(F.col("is_directory") | ~F.col("target_is_directory"))
     folders = C.checkpoint_rows(filters.collapse_checkpoints(below, KEYS))
     folders = folders.withColumn("relpath", F.col("checkpoint"))
     folders = filters.passing(folders, options)
@@ -372,9 +403,7 @@ def scan(
         folders = _with_folder_hashes(folders, below)
     inventory = found.unionByName(folders.drop("checkpoint", "n_files"), allowMissingColumns=True)
     if options.compute_permissions:
-        inventory = permissions.add_permission_alerts(permissions.add_permissions(inventory))
-    else:
-        inventory = inventory.drop("owner", "group")
+        inventory = permissions.add_permission_alerts(permissions.add_permissions(add_access(inventory)))
     return inventory.drop("rule"), errors
 
 
@@ -383,6 +412,8 @@ def _with_folder_hashes(folders: DataFrame, below: DataFrame) -> DataFrame:
     rel = F.substr(F.col("relpath"), F.length("checkpoint") + 2)
     hashed = add_file_hashes(inside.select(*KEYS, "checkpoint", "path", rel.alias("rel")))
     digests = hashing.folder_hashes(hashed, [*KEYS, "checkpoint"])
+    # one row each already; said as a grouping, Spark leaves the join out where the hash is not used
+    digests = digests.groupBy(*KEYS, "checkpoint").agg(F.first("folder_hash").alias("folder_hash"))
     empty = F.sha2(F.lit(""), 256)
     return (
         folders.join(digests, [*KEYS, "checkpoint"], "left")

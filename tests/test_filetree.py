@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from filecensus.operators import rules as R
 from filecensus.operators.filters import ScanOptions
@@ -96,6 +97,45 @@ def test_linked_folders_end_in_no_cycle(spark, tmp_path):
     assert sorted(rows) == ["alink/a.csv", "blink/a.csv", "zdir/a.csv"] and errors == []
 
 
+def test_links_across_the_root_and_into_each_other(spark, tmp_path):
+    """A link out of the tree, back over its root, two folders that link to each other, and one folder linked twice."""
+    outside, root = tmp_path / "outside", tmp_path / "root"
+    for folder in (outside / "data", root / "one", root / "two"):
+        folder.mkdir(parents=True)
+    (outside / "data" / "o.csv").write_text("x")
+    (root / "r.csv").write_text("x")
+    (root / "one" / "1.csv").write_text("x")
+    for link, target in (("out", outside), ("one/to_two", root / "two"), ("two/to_one", root / "one"), ("one/up", tmp_path)):
+        (root / link).symlink_to(target, target_is_directory=True)
+    rows, errors = scan(spark, str(root), follow_symlinks=True)
+    found = {p.rsplit("/", 1)[0] if "/" in p else "" for p in rows}
+    assert found == {"", "one", "out/data", "two/to_one", "one/up/outside/data", "two/to_one/up/outside/data"} and errors == []
+    assert sorted(scan(spark, str(root))[0]) == ["one/1.csv", "r.csv"]
+
+
+def test_a_folder_of_many_entries_is_dealt_to_tasks(spark, tmp_path):
+    """One folder of 100,000 entries is listed in shares, each name once."""
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "in").mkdir()
+    for k in range(100_000):
+        (tmp_path / "many" / f"{k:06}.csv").touch()
+    listed = filetree.list_tree(spark, str(tmp_path), tasks=8, share_bytes=1 << 18)
+    assert listed.filter("is_file").select("filename").distinct().count() == listed.filter("is_file").count() == 100_000
+    per_file = listed.filter("is_file").groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) >= 4 and max(r["count"] for r in per_file) < 60_000
+
+
+def test_files_are_opened_only_for_the_columns_asked_for(spark, root):
+    found, _ = filetree.scan(spark, root, ScanOptions(compute_hashes=True, compute_permissions=True), tasks=4)
+
+    def plan(*columns):
+        return found.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "file_hash" not in plan("path", "category", "size_bytes") and "file_access" not in plan("path", "category", "size_bytes")
+    assert "file_hash" in plan("path", "hash") and "file_access" not in plan("path", "hash")
+    assert "file_access" in plan("path", "permission_alert") and "file_hash" not in plan("path", "permission_alert")
+
+
 def test_errors_do_not_stop_a_scan(spark, tmp_path):
     rows, errors = scan(spark, str(tmp_path / "missing"))
     assert rows == {} and errors[0].error.startswith("OS error scanning")
