@@ -809,7 +809,10 @@ def ingested(spark: SparkSession, sf_dir: str) -> Iterator[ingest.FleetStore]:
 
 @query(SCANS + _RECEIPTS)
 def stream_ingest(spark, sf_dir):
-    *_, store = ingested(spark, sf_dir)
+    """All arrivals at once, replays among them."""
+    *_, path = arrivals(spark, sf_dir)
+    store = ingest.FleetStore(spark, work_dir(spark, "fleet"))
+    ingest.run_available(ingest.report_stream(spark, path), store)
     return fleet.receipts(store.read("reports"), store.read("alerts"), store.read("changes"))
 
 

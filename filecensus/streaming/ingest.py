@@ -9,7 +9,8 @@ out of order makes a batch look at the machine's earlier report headers.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -125,28 +126,37 @@ def ingest_batch(store: FleetStore):
     def run(batch: DataFrame, batch_id: int) -> None:
         store.write(batch, "accepted", batch_id)
         accepted = store.of_batches("accepted", [batch_id]).filter("NOT rejected").drop("batch_id")
-        store.write(source.report_files(accepted).sortWithinPartitions("report_id"), "files", batch_id)
-        store.write(fleet.reported_changes(accepted), "changes", batch_id)
-
-        store.write(_progress(store, accepted, batch_id), "progress", batch_id)
+        _together(
+            lambda: store.write(source.report_files(accepted).sortWithinPartitions("report_id"), "files", batch_id),
+            lambda: store.write(fleet.reported_changes(accepted), "changes", batch_id),
+            lambda: store.write(_progress(store, accepted, batch_id), "progress", batch_id),
+        )
         fresh = store.of_batches("progress", [batch_id]).filter("have >= want").drop("batch_id")
         own = _files_of(store, fresh, {batch_id})
-        store.write(fleet.alerts(fresh, own), "alerts", batch_id)
-        store.write(fleet.alert_files(own), "alert_files", batch_id)
-
         last = _last_reports(store, fresh, batch_id)
-        store.write(_linked(store, fresh, last, batch_id), "pairs", batch_id)
+        _together(
+            lambda: store.write(fleet.alerts(fresh, own), "alerts", batch_id),
+            lambda: store.write(fleet.alert_files(own), "alert_files", batch_id),
+            lambda: store.write(_linked(store, fresh, last, batch_id), "pairs", batch_id),
+            lambda: _write_last(store, fresh, last, batch_id),
+        )
         pairs = store.of_batches("pairs", [batch_id]).drop("batch_id")
         before = pairs.select(F.col("previous_report_id").alias("report_id"), F.col("previous_batches").alias("batches"))
         compared = _files_of(store, pairs.select("report_id", "batches").union(before).distinct(), set())
         changes = snapshots.consecutive_changes(compared, pairs)
         store.write(fleet.computed_changes(changes, pairs), "computed_changes", batch_id)
-        _write_last(store, fresh, last, batch_id)
         store.commit(batch_id)
 
     return run
 
 
+def _together(*writes: Callable[[], None]) -> None:
+    """Run small writes that do not need each other at the same time; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
+
+
 def _progress(store: FleetStore, accepted: DataFrame, batch_id: int) -> DataFrame:
     """One row per report that waited for parts or got some: how many it has, and its header.
 
