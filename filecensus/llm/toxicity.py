@@ -20,6 +20,8 @@ from filecensus.llm.shared import crc_remainder
 BUCKETS, DIMENSIONS = 1 << 16, 8
 GRAMS, BEGINNINGS = (3, 4, 5), (3, 4, 5, 6)
 WIDTH, STRIDE = 32, 16
+#: Logit of a text without words.
+WORDLESS = -2.0
 #: Bounds of the training sample: documents per label, chunks per document.
 SAMPLE_DOCS, SAMPLE_CHUNKS = {0: 4000, 1: 1500}, 128
 ROUNDS, DOC_BATCH, RATE, DECAY = 6, 64, 0.02, 0.3
@@ -96,7 +98,9 @@ def sample_chunks(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataF
                 )
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return joined.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(cut, "doc long, label int, words binary")
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")
+    return joined.select(number.alias("doc_id"), F.col("label").cast("int"), "text").mapInArrow(cut, "doc long, label int, words binary")
 
 
 class _Bags:
@@ -214,8 +218,8 @@ def train(docs: np.ndarray, labels: np.ndarray, texts: pa.Array, seed: int = 7)
 
 
 def odds_of(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """Logit of the most toxic chunk of every text."""
-    out = np.full(len(texts), bias)
+    """Logit of the most toxic chunk of every text; a text without words has a fixed one that says clean."""
+    out = np.full(len(texts), min(bias, WORDLESS))
     for block in kernel.blocks(texts):
         found, grams = word_grams(block)
         total, count = np.zeros(len(found.starts)), np.zeros(len(found.starts))
@@ -234,7 +238,8 @@ def odds_of(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text); the model (256 KB) is broadcast.
 
-    score is the probability of the most toxic chunk; a null, empty or wordless text has that of no word.
+    score is the probability of the most toxic chunk.  A null, empty or wordless text holds nothing toxic: its score is
+    below 0.5 whatever was learned.  Repeated rows are scored alike, an empty table gives no rows, ids may be of any type.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -249,6 +254,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> tuple[np.ndarray, float]:
+    """The model of the labelled rows outside the held-out part; without both labels every text is clean."""
     rows = sample_chunks(docs, labels, modulus).toArrow().combine_chunks()
     if not rows.num_rows:
         return np.zeros(BUCKETS, np.float32), -2.0
