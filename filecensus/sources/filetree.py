@@ -52,58 +52,62 @@ RANGE_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 
 
-def _identity(found: os.stat_result) -> str:
-    return f"{found.st_dev}:{found.st_ino}"
+def folder_entries(
+    folder: str, share: int = 0, shares: int = 1, above: tuple[str, ...] | list[str] = (),
+    follow_symlinks: bool = False, share_bytes: int = SHARE_BYTES,
+) -> Iterator[tuple]:
+    """Entries of a folder, or of one share of its names, as rows of ``ENTRY``; what goes wrong is a row too.
 
-
-def _list_folders(follow_symlinks: bool, share_bytes: int):
-    """Entries of each folder, or of one share of them, handed on in batches.
-
-    ``shares`` says into how many shares the listing of a folder found here is to be dealt.  With links
+    ``shares`` of a row says into how many shares the listing of that folder is to be dealt.  With links
     followed, ``above`` are the identities (device, inode) of the folders a folder was reached through, and
     ``leads_back`` marks a folder that is one of them.
     """
 
-    def described(entry: os.DirEntry, above: list[str]) -> tuple:
-        folder, linked = entry.is_dir(follow_symlinks=follow_symlinks), entry.is_symlink()
-        shares, leads_back = 1, False
-        if folder:
+    def described(entry: os.DirEntry, through: list[str]) -> tuple:
+        inner, linked = entry.is_dir(follow_symlinks=follow_symlinks), entry.is_symlink()
+        parts, leads_back = 1, False
+        if inner:
             own = entry.stat(follow_symlinks=follow_symlinks or not linked)
-            shares = -(-own.st_size // share_bytes) or 1
-            leads_back = follow_symlinks and _identity(own) in above
+            parts = -(-own.st_size // share_bytes) or 1
+            leads_back = follow_symlinks and f"{own.st_dev}:{own.st_ino}" in through
         is_file = entry.is_file(follow_symlinks=follow_symlinks)
-        return entry.path, entry.name, folder, linked, is_file, None, shares, above if folder else None, leads_back
+        return entry.path, entry.name, inner, linked, is_file, None, parts, through if inner else None, leads_back
 
     def failed(path: str, message: str) -> tuple:
-        return path, None, False, False, False, f"{message}", 1, None, False
+        return path, None, False, False, False, message, 1, None, False
+
+    try:
+        through = list(above)
+        if follow_symlinks:
+            own = os.stat(folder)
+            through.append(f"{own.st_dev}:{own.st_ino}")
+        with os.scandir(folder) as found:
+            for entry in found:
+                if shares > 1 and zlib.crc32(os.fsencode(entry.name)) % shares != share:
+                    continue
+                try:
+                    yield described(entry, through)
+                except PermissionError:
+                    yield failed(entry.path, f"Permission denied: {entry.path}")
+                except OSError as err:
+                    yield failed(entry.path, f"Error accessing {entry.path}: {err}")
+    except PermissionError:
+        if share == 0:
+            yield failed(folder, f"Permission denied: {folder}")
+    except OSError as err:
+        if share == 0:
+            yield failed(folder, f"OS error scanning {folder}: {err}")
 
-    def entries(folder: str, share: int, shares: int, above: list[str]) -> Iterator[tuple]:
-        try:
-            through = [*above, _identity(os.stat(folder))] if follow_symlinks else []
-            with os.scandir(folder) as found:
-                for entry in found:
-                    if shares > 1 and zlib.crc32(os.fsencode(entry.name)) % shares != share:
-                        continue
-                    try:
-                        yield described(entry, through)
-                    except PermissionError:
-                        yield failed(entry.path, f"Permission denied: {entry.path}")
-                    except OSError as err:
-                        yield failed(entry.path, f"Error accessing {entry.path}: {err}")
-        except PermissionError:
-            if share == 0:
-                yield failed(folder, f"Permission denied: {folder}")
-        except OSError as err:
-            if share == 0:
-                yield failed(folder, f"OS error scanning {folder}: {err}")
 
+def _list_folders(follow_symlinks: bool, share_bytes: int):
+    """Entries of the folders, or shares of them, handed on in batches."""
     columns = [c.split()[0] for c in ENTRY.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for batch in batches:
             for folder, share, shares, above in zip(batch["path"], batch["share"], batch["shares"], batch["above"]):
-                for row in entries(folder, share, shares, list(above)):
+                for row in folder_entries(folder, share, shares, above, follow_symlinks, share_bytes):
                     rows.append(row)
                     if len(rows) >= BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)

@@ -189,3 +189,27 @@ def test_ranges_and_chunks_find_what_whole_files_hold(spark, tmp_path, span, chu
     wanted = {**C.head_tests(rules.window), "secret": any_rule(whole["head"], rules)}
     want = {r.path: r.asDict() for r in whole.select("path", *[t.alias(n) for n, t in wanted.items()]).collect()}
     assert got == want
+
+
+def test_tree_as_a_data_source(spark, root, tmp_path):
+    """All entries in parts of any number, errors beside them, a huge folder in shares, links that lead back."""
+    from filecensus.sources import treesource
+
+    treesource.register(spark)
+    expected = {p for folder, inner, names in os.walk(root) for p in (os.path.join(folder, n) for n in inner + names)}
+    for partitions in (1, 3, 200):
+        found = spark.read.format("filetree").option("partitions", partitions).load(root)
+        rows = found.collect()
+        assert {r.path for r in rows} == expected and len(rows) == len(expected)
+        assert {r.path for r in rows if r.is_file} == {p for p in expected if os.path.isfile(p) and not os.path.islink(p)}
+    followed = spark.read.format("filetree").option("follow_symlinks", True).load(root)
+    files = {r.path[len(root) + 1 :] for r in followed.filter("is_file").collect()}
+    assert {"linked/config.yaml", "link.csv"} <= files and not any("cycle" in f for f in files)
+    missing = spark.read.format("filetree").load(str(tmp_path / "gone"))
+    assert [r.error.startswith("OS error scanning") for r in missing.collect()] == [True]
+    (tmp_path / "many").mkdir()
+    for k in range(20_000):
+        (tmp_path / "many" / f"{k:05}.csv").touch()
+    dealt = spark.read.format("filetree").option("partitions", 8).option("share_bytes", 1 << 17).load(str(tmp_path))
+    per_task = dealt.filter("is_file").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 20_000 and len(per_task) >= 3
