@@ -163,6 +163,16 @@ def alert_files(files: DataFrame) -> DataFrame:
     return found.select("report_id", "alert_type", "path", perms.alias("perms"))
 
 
+def acknowledge(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Alerts with those marked that somebody has dealt with: ``seen`` has report_id and alert_type.
+
+    Alerts stay as they were written; what was seen is a table of its own that is met when they are read.
+    """
+    marks = seen.select("report_id", "alert_type").distinct().withColumn("_seen", F.lit(1).cast("long"))
+    marked = lookup_join(found, marks, ["report_id", "alert_type"], "left")
+    return marked.withColumn("acknowledged", F.greatest(F.coalesce("_seen", F.lit(0)), F.col("acknowledged"))).drop("_seen")
+
+
 def unacknowledged(found: DataFrame) -> DataFrame:
     return found.filter(F.col("acknowledged") == 0)
 

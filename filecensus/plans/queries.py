@@ -727,6 +727,31 @@ def alert_severity(spark, sf_dir):
     return fleet.alert_severity(fleet.alerts(*_fleet(spark, sf_dir)))
 
 
+@query(
+    SCANS + "SELECT report_id, alert_type, severity, n_files, acknowledged FROM (SELECT * REPLACE "
+    "(CAST(CASE WHEN report_id LIKE '%-0' AND alert_type = 'permissions' THEN 1 ELSE 0 END AS BIGINT) AS acknowledged) FROM alr) "
+    "WHERE acknowledged = 0"
+)
+def open_alerts(spark, sf_dir):
+    """Alerts that nobody has dealt with; the permission alerts of the first scans have been."""
+    found = stored(fleet.alerts(*_fleet(spark, sf_dir)), "alerts")
+    seen = found.filter(F.col("report_id").endswith("-0") & (F.col("alert_type") == "permissions"))
+    rows = fleet.unacknowledged(fleet.acknowledge(found, seen))
+    return rows.select("report_id", "alert_type", "severity", "n_files", "acknowledged")
+
+
+@query(
+    SCANS + "SELECT machine_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, "
+    "ROW_NUMBER() OVER (ORDER BY last_seen DESC, machine_id) AS position FROM "
+    "(SELECT machine_id, MAX(received_at) AS last_seen FROM rep GROUP BY machine_id)"
+)
+def node_order(spark, sf_dir):
+    """Nodes with their place in the order of last contact."""
+    rows = fleet.nodes_by_last_seen(fleet.node_registry(_reports(spark, sf_dir)))
+    ordered = ordering.partitioned(rows.select("machine_id", time_text("last_seen")))
+    return ordering.positions(stored(ordered, "sorted"))
+
+
 @query(
     SCANS + "SELECT report_id, hostname, created_at, alert_type, severity, message FROM alr "
     "ORDER BY created_at DESC, report_id DESC, alert_type DESC LIMIT 50"
