@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from filecensus.llm import kernel
 from filecensus.llm.components import components
-from filecensus.llm.shared import row_key, stored
+from filecensus.llm.shared import release, row_key, stored
 
 #: At most this many shingles count as frequent; see ``frequent_shingles``.
 FREQUENT_BOUND = 1 << 20
@@ -34,6 +34,8 @@ LANES = 4
 BITS = [f"bits{lane}" for lane in range(LANES)]
 #: Further pivots of a list; they only save single comparisons, which come after them anyway.
 PIVOTS = 3
+#: First entries of a set by which a pair that was met before is known again; the few others are told apart later.
+KNOWN_AGAIN = 8
 #: Size of the bit table that tells wanted sets apart.
 SPOTS = 1 << 22
 
@@ -276,6 +278,7 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)),
         "centered",
     )
+    release(lists)
 
     def mixed_lists() -> DataFrame:
         """Lists that hold more than one component; the others are skipped."""
@@ -306,10 +309,14 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     links = overlaps(pairs, sets).where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
     known = stored(components(known.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(links)), "known")
 
-    # A pair is met at its first shared entry only: the entries before it have nothing in common.
-    before = Window.partitionBy("set_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # A pair is kept where it is met first: no later entry is, if its first shared entry is among the first of both.
     parity = index.where("n > 0").groupBy("set_id").agg(*(F.any_value(b).alias(b) for b in BITS))
-    placed = stored(mixed_lists().withColumn("earlier", F.collect_list("token").over(before)).join(parity, "set_id"), "placed")
+    first = company.select("set_id", F.slice("prefix", 1, KNOWN_AGAIN).alias("first"))
+    placed = mixed_lists().join(parity, "set_id").join(first, "set_id")
+    placed = stored(placed.withColumn("earlier", F.slice("first", F.lit(1), F.least("pos", F.lit(KNOWN_AGAIN)))).drop("first"), "placed")
+    members = stored(members, "members")
+    release(centered)
+    release(index)
 
     def side(name: str, frame: DataFrame) -> DataFrame:
         kept = ("set_id", "n", "pos", "component", "center", "extra", "earlier", *BITS)
@@ -327,6 +334,7 @@ def set_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
             F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), F.col("n_x").alias("nx"), F.col("n_y").alias("ny"),
             F.col("center_x").alias("cx"), F.col("center_y").alias("cy"), F.col("extra_x").alias("ex"), F.col("extra_y").alias("ey"),
         )
+        .distinct()
     )
     crossing = stored(still_possible(entries, company, percent), "crossing")
     sets = with_sets(crossing, "x", "y", "cx", "cy")

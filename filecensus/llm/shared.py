@@ -33,6 +33,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Empty a table of :func:`stored` that no later step reads, so that its files do not wait for the job's end."""
+    files = table.inputFiles()
+    if files:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array, none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
