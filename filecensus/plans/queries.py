@@ -436,6 +436,22 @@ def hidden_skip_depth(spark, sf_dir):
     return demo.inventory(spark, sf_dir, options).select(*FILE_KEYS, "category")
 
 
+_FOLLOWED = oracle.reached("COALESCE(checkpoint, rel)")
+
+
+@query(
+    INV + "SELECT machine_id, path, followed FROM listing, (VALUES (true), (false)) AS f(followed) "
+    f"WHERE {_FOLLOWED} AND (followed OR file_id % 7 <> 3 OR checkpoint IS NOT NULL)"
+)
+def link_policy(spark, sf_dir):
+    """Entries a scan reaches with links followed or left out, every seventh file being a link."""
+    linked = demo.listing(spark, sf_dir).drop("head", "head_bytes").withColumn("is_symlink", F.col("file_id") % 7 == 3)
+    walked = [
+        filters.walk(linked, filters.ScanOptions(follow_symlinks=f)).select(*FILE_KEYS, F.lit(f).alias("followed")) for f in (True, False)
+    ]
+    return walked[0].unionByName(walked[1])
+
+
 # --- sort orders ------------------------------------------------------------------------------
 
 
