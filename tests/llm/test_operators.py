@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ from filecensus.llm import (
     ngram_join,
     quality,
     secrets_scan,
+    shared,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -275,6 +277,20 @@ def test_toxicity_of_held_out_rows_and_misspellings(spark):
     assert scores[1] > scores[2] and scores[3] == scores[4] == scores[5] and 0 <= scores[3] < 0.5
 
 
+def test_stored_tables_drop_shuffles_without_collections(spark):
+    """Forced collections after each step made the driver's heap grow; the files of a write's shuffles go without them."""
+    jvm = spark.sparkContext._jvm
+    old = [b for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()]
+    files = lambda: {f for f in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in f}
+    own, began, there = spark.conf.get(shared.DROP_SHUFFLES), sum(b.getCollectionCount() for b in old), files()
+    tables = [shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few") for _ in range(4)]
+    end = time.time() + 20
+    while files() - there and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - there and sum(b.getCollectionCount() for b in old) == began and spark.conf.get(shared.DROP_SHUFFLES) == own
+    assert all(t.agg(F.sum("count")).first()[0] == 1000 for t in tables)
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = toxicity.score(docs, toxicity.fitted(docs, none)).collect()
