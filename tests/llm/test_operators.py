@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -336,6 +337,32 @@ def test_network_gradients_and_normalisation():
     assert abs(total - 1) < 1e-6
 
 
+def test_scoring_holds_the_attention_of_few_windows():
+    """Attention of a whole batch left a core's cache, which made scoring slow; results are those of single windows."""
+    rng = np.random.default_rng(4)
+    net = language_model.initial(np.ones(language_model.TOP + 1))
+    xs, ys = (rng.integers(0, language_model.TOP + 1, (language_model.BATCH, language_model.CONTEXT)) for _ in range(2))
+    valid = rng.random(xs.shape) < 0.75
+    tracemalloc.start()
+    found = language_model.log_probabilities(xs, ys, valid, net)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24 << 20, peak
+    single = [language_model.log_probabilities(xs[k : k + 1], ys[k : k + 1], valid[k : k + 1], net) for k in range(0, 2000, 97)]
+    bounds = np.concatenate(([0], np.cumsum(valid.sum(1))))
+    for k, own in zip(range(0, 2000, 97), single, strict=True):
+        assert np.allclose(found[bounds[k] : bounds[k + 1]], own, atol=1e-5)
+
+
+def test_gradients_without_own_ids_or_targets():
+    net = language_model.initial(np.ones(language_model.TOP + 1))
+    xs, valid = np.zeros((2, language_model.CONTEXT), np.int64), np.ones((2, language_model.CONTEXT), bool)
+    rare = language_model.gradients(xs, np.full_like(xs, language_model.TAIL), valid, net)
+    assert not rare["id"].any() and rare["class_bias"][language_model.CLASSES] < 0 < rare["class_bias"][0]
+    none = language_model.gradients(xs, xs, ~valid, net)
+    assert set(none) == set(language_model.SHAPES) and not any(g.any() for g in none.values())
+
+
 def test_every_window_teaches(spark):
     """Texts of equal first and last ids and length; only a window that is trained on moves the vector of its middle word."""
     middle = "cat dog house water money music school city paper table".split()
