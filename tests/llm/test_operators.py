@@ -279,7 +279,7 @@ def test_toxicity_of_held_out_rows_and_misspellings(spark):
 
 
 def test_stored_tables_drop_shuffles_without_collections(spark):
-    """Forced collections after each step made the driver's heap grow; the files of a write's shuffles go without them."""
+    """The files of a write's shuffles go when it ends, without a forced collection."""
     jvm = spark.sparkContext._jvm
     old = [b for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()]
     files = lambda: {f for f in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in f}
