@@ -4,6 +4,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,77 @@ def test_scoring_holds_the_attention_of_few_windows():
         assert np.allclose(found[bounds[k] : bounds[k + 1]], own, atol=1e-5)
 
 
+def test_scoring_asks_for_little_memory_at_once():
+    """Arrays over all places of a batch were asked for and given back again and again, a fifth of the scoring time."""
+    rng = np.random.default_rng(5)
+    net = language_model.initial(np.ones(language_model.TOP + 1))
+    xs, ys = (rng.integers(0, language_model.PER_CLASS, (language_model.BATCH, language_model.CONTEXT)) for _ in range(2))
+    valid = np.ones(xs.shape, bool)
+    tracemalloc.start()
+    found = language_model.log_probabilities(xs, ys, valid, net)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24 << 20, peak
+    assert np.allclose(found[: language_model.CONTEXT], language_model.log_probabilities(xs[:1], ys[:1], valid[:1], net), atol=1e-5)
+
+
+def test_late_places_score_the_same_alone():
+    """Places before the first scored one ask nothing; the others' results do not change."""
+    rng = np.random.default_rng(6)
+    net = language_model.initial(rng.integers(1, 90, language_model.TOP + 1).astype(float))
+    xs, ys = (rng.integers(0, language_model.TOP + 1, (5, language_model.CONTEXT)) for _ in range(2))
+    every = np.ones(xs.shape, bool)
+    late = every & (np.arange(language_model.CONTEXT) >= language_model.OVERLAP)
+    late[1, 20:] = False
+    whole = language_model.log_probabilities(xs, ys, every, net).reshape(xs.shape)
+    assert np.allclose(language_model.log_probabilities(xs, ys, late, net), whole[late], atol=1e-5)
+    assert not len(language_model.log_probabilities(xs, ys, ~every, net))
+
+
+def test_training_steps_are_adam_on_the_gradients():
+    rng = np.random.default_rng(7)
+    start = language_model.initial(rng.integers(1, 9, language_model.TOP + 1).astype(float))
+    n = 2 * language_model.TRAIN_BATCH + 9
+    xs, ys = (rng.integers(0, language_model.TOP + 1, (n, language_model.CONTEXT)) for _ in range(2))
+    valid = rng.random(xs.shape) < 0.9
+    found = language_model.fit(start, xs, ys, valid, 2, 0.01)
+    net = {k: w.astype(np.float64) for k, w in start.items()}
+    m, v = ({k: np.zeros_like(w) for k, w in net.items()} for _ in range(2))
+    rng, step = np.random.default_rng(3), 0
+    for _ in range(2):
+        order = rng.permutation(n)
+        for low in range(0, n, language_model.TRAIN_BATCH):
+            at = order[low : low + language_model.TRAIN_BATCH]
+            step += 1
+            grads = language_model.gradients(xs[at], ys[at], valid[at], net)
+            for k, g in grads.items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.99 * v[k] + 0.01 * g * g
+                net[k] = net[k] - 0.01 * (1 - 0.9 * step / 6) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    for k in language_model.SHAPES:
+        assert np.abs(found[k] - net[k]).max() < 1e-3 * np.abs(net[k] - start[k]).max(), k
+
+
+def test_words_are_encoded_once_a_task(monkeypatch):
+    """A word met in an earlier block is not encoded again; ids are those of each word alone, whatever is kept."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["the", "na\u00efve", "\u4e2d\u6587", "a.b-c", "x" * 40, "\u00a0odd\u00a0", *map(str, range(90))], k=60)) for _ in range(20)]
+    alone = language_model.Subwords()
+    for kept in (language_model.KEPT_WORDS, 30, 0):
+        monkeypatch.setattr(language_model, "KEPT_WORDS", kept)
+        subwords, asked = language_model.Subwords(), []
+        encode = subwords.of_words
+        monkeypatch.setattr(subwords, "of_words", lambda words: (asked.extend(words), encode(words))[1])  # noqa: B023
+        for low in range(0, 20, 4):
+            for block in kernel.blocks(pa.array(texts[low : low + 4])):
+                found, hashes, which, counts, ids, bounds = subwords.of_block(block)
+                words = [w.encode() for t in texts[low : low + 4] for w in t.split(" ")]
+                assert len(which) == len(words) and counts.sum() == len(words) and len(hashes) == len(set(words))
+                for w, k in zip(words, which.tolist(), strict=True):
+                    assert ids[bounds[k] : bounds[k + 1]].tolist() == alone.of_words([w])[0].tolist()
+        assert len(subwords.hashes) <= kept and (len(asked) == len(set(asked))) == (kept == 1 << 19)
+
+
 def test_gradients_without_own_ids_or_targets():
     net = language_model.initial(np.ones(language_model.TOP + 1))
     xs, valid = np.zeros((2, language_model.CONTEXT), np.int64), np.ones((2, language_model.CONTEXT), bool)
