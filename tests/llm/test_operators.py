@@ -369,6 +369,55 @@ def test_scoring_asks_for_little_memory_at_once():
     assert np.allclose(found[: language_model.CONTEXT], language_model.log_probabilities(xs[:1], ys[:1], valid[:1], net), atol=1e-5)
 
 
+def test_scoring_fills_the_same_arrays_again():
+    """A batch's arrays were asked for anew; whatever earlier batches left in the kept ones, scores are those of a fresh call."""
+    rng = np.random.default_rng(9)
+    net = language_model.initial(rng.integers(1, 90, language_model.TOP + 1).astype(float))
+    xs, ys = (rng.integers(0, language_model.TOP + 1, (language_model.BATCH, language_model.CONTEXT)) for _ in range(2))
+    valid = rng.random(xs.shape) < 0.9
+    tracemalloc.start()
+    language_model.log_probabilities(xs, ys, valid, net)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 8 << 20, peak
+    packed = language_model._packed(language_model._pack(net))
+    room = language_model.ScoringRoom(np.float32)
+    late = valid & (np.arange(language_model.CONTEXT) >= language_model.OVERLAP)
+    for low, high, mark in ((0, 1300, valid), (5, 70, late), (0, 1, valid), (7, 600, valid), (40, 41, ~valid)):
+        own = slice(low, high)
+        found = language_model._log_probabilities(xs[own], ys[own], mark[own], packed, room)
+        assert np.allclose(found, language_model.log_probabilities(xs[own], ys[own], mark[own], net), atol=1e-5)
+
+
+def test_training_fills_the_same_arrays_again():
+    """The last batch of a round is smaller; what larger ones left behind it takes no part."""
+    rng = np.random.default_rng(10)
+    net = language_model.initial(rng.integers(1, 9, language_model.TOP + 1).astype(float))
+    xs, ys = (rng.integers(0, language_model.TOP + 1, (language_model.TRAIN_BATCH, language_model.CONTEXT)) for _ in range(2))
+    valid = rng.random(xs.shape) < 0.9
+    room = language_model.TrainingRoom(language_model.TRAIN_BATCH, language_model._pack(net))
+    for size in (language_model.TRAIN_BATCH, 9, 1, 20):
+        language_model._gradients(xs[:size], ys[:size], valid[:size], room)
+        want = language_model.gradients(xs[:size], ys[:size], valid[:size], net)
+        for k, grad in language_model._named(room.grads).items():
+            assert np.allclose(grad, want[k], atol=1e-7), k
+
+
+def test_word_hashes_hold_few_sums():
+    """Sums of 8 bytes for every byte of a block left a core's cache; a word's hash is that of its bytes wherever it stands."""
+    rng = random.Random(11)
+    text = " ".join(rng.choices(["a", "bc", "na\u00efve", "x" * 300, "y" * 200_000], [500, 500, 500, 20, 0.05], k=60_000))
+    block = next(kernel.blocks(pa.array([text, "", "one more"]), 1 << 24))
+    found = kernel.words(block)
+    want = kernel.word_hashes(block, found)
+    tracemalloc.start()
+    hashes = kernel.word_hashes_in_parts(block, found)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert np.array_equal(hashes, want) and peak < 4 * len(block.data) + (8 << 20), peak
+    assert not len(kernel.word_hashes_in_parts(*(lambda b: (b, kernel.words(b)))(next(kernel.blocks(pa.array([" "]))))))
+
+
 def test_late_places_score_the_same_alone():
     """Places before the first scored one ask nothing; the others' results do not change."""
     rng = np.random.default_rng(6)
